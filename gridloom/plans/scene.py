@@ -153,7 +153,7 @@ def segment_series(steps: list[tuple[DataFrame, DataFrame, DataFrame | None]], c
             labels = segment(pixels, cfg, "normal")
             out.append(written(develop(labels, layer, stage2), "step"))
             continue
-        masked = pixels.join(change.select("scene", "px", F.col("changed").alias("valid")), ["scene", "px"])
+        masked = pixels.drop("valid").join(change.select("scene", "px", F.col("changed").alias("valid")), ["scene", "px"])
         update = segment(masked, cfg, "normal").withColumnRenamed("region_id", "update")
         both = out[-1].join(update.select("scene", "px", "update"), ["scene", "px"]).join(layer.select("scene", "px", F.col("bands").alias("layer")), ["scene", "px"])
 
