@@ -1,90 +1,32 @@
-"""What the corpus operators share: the scratch folder, written tables, graph components, byte buffers."""
+"""What the corpus operators share: row filters by id, samples, word hashes, small statistics."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ROOTS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this session's own inside the one that ``spark.checkpoint.dir`` names.
-
-    Driver and executors must share that folder.  Where the setting is absent (tests, one machine) a
-    temporary folder is made and used as the checkpoint folder.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-            spark.sparkContext.setCheckpointDir(base)
-        _ROOTS[app] = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-        atexit.register(remove, spark, _ROOTS[app])
-    return _ROOTS[app]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` from whichever store it names; at exit the session may be gone already."""
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the gateway is closed: nothing is left to ask
-        pass
+from ..operators.graph import components
+from ..storage import scratch, shared_dir, written
 
+__all__ = ["auc", "bounded_sample", "components", "likely", "logistic", "mix", "scratch", "shared_dir", "utf8", "word_hashes", "written"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+#: Bits of the largest filter that :func:`likely` makes: 32 MB, whatever the number of ids.
+FILTER_BITS = 1 << 28
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is among ``ids`` (a column of that name), and a few others; nothing is shuffled.
 
-
-def checksum(df: DataFrame) -> tuple:
-    """A row count and an order-free hash of all rows."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(h)).first())
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(id, component)`` for every node of ``edges(a, b)``; component is the least id reachable.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): each is one min-aggregate, combined
-    before the shuffle, and one equi-join, so a hub of any degree costs no task more than its share.
-    Each round is written to the shared folder, which keeps the lineage short.
+    A bitmap of hashed ids, of bounded size, is broadcast and lets those rows pass.  Callers join the result by id, so
+    the others cost only their own work.  Rows without key may pass too.
     """
-    a, b = F.greatest("a", "b"), F.least("a", "b")
-    e = written(edges.select(a.alias("a"), b.alias("b")).filter("a <> b").distinct(), "edges")
-    seen = checksum(e)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(down.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "small")
-        now = checksum(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots)
+    bits = min(FILTER_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    marks = ids.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumns({"_bucket": F.bitmap_bucket_number(at), "_bit": F.bitmap_bit_position(at)}).join(F.broadcast(marks), "_bucket")
+    return marked.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)), F.lit(2)) == 1).select(*rows.columns)
 
 
 def utf8(column) -> list[bytes | None]:

@@ -11,11 +11,13 @@ Equal sets are collapsed to one representative first, so groups of copies of any
 1. every member of a bucket is compared with the bucket's most central member, the one that meets most others
    over all tables (a star, linear in the bucket), and linked members are joined to components;
 2. the same with the next LEADERS members, for buckets that still hold several components;
-3. buckets that hold several components even then are compared in full, across components only.
+3. members of larger buckets that hold several components even then are compared in full, across components only:
+   cells of equal half-keys of the first collection are compared as blocks of sketches, each pair in the first
+   cell that it shares, and only pairs that may be alike leave a cell.
 
-Candidates must have sizes that allow the similarity, pass an estimate from all minhashes (five standard
-deviations of slack), and are then confirmed on their full shingle sets, JVM-side.  No pair inside a component
-already found is made again.
+Candidates must have sizes that allow the similarity, pass an estimate (five standard deviations of slack) from all
+minhashes, or in the third step from the least shingle hashes, which for small sets are all there are; they are then
+confirmed on their full shingle sets, JVM-side.  No pair inside a component already found is made again.
 
 Rows: a null or wordless text has an empty set and is linked with nothing; so is a row without ``doc_id``
 (component null, kept).  A text of fewer words than a shingle has one shingle, its whole word sequence.
@@ -28,15 +30,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import components, mix, utf8, word_hashes, written
+from .common import components, likely, mix, utf8, word_hashes, written
 
 #: Members of a bucket that all others are compared with before a bucket is compared in full.
 LEADERS = 6
+#: Shingle hashes of a sketch, and members of a block, in the comparison of cells.
+SKETCH, BLOCK = 256, 2048
 #: Minhashes of a signature; tables use the first 2 * rows * tables of them, estimates use all.
 SIGNATURE = 64
 
@@ -111,10 +115,124 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
+def sketches_of(docs: DataFrame, words: int) -> DataFrame:
+    """``id, sketch``: the least ``SKETCH`` shingle hashes, by their upper 32 bits, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(utf8(batch.column("text")), words)
+            sketches = [np.unique((s[:SKETCH] >> np.uint64(32)).astype(np.int64)) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "sketch"])
+
+    return docs.mapInArrow(run, "id long, sketch array<long>").select("id", F.transform("sketch", lambda x: (x - 2**31).cast("int")).alias("sketch"))
+
+
+def compare_cell(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of one cell, one member marked ``frag``, that may be alike: other components, sizes, sketches.
+
+    ``place`` is the cell's number in the first collection; a pair belongs to the first cell that it shares, and
+    must share some half-key of the second collection.
+    """
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    frag = rows[rows["frag"]]
+    other = rows[~rows["frag"]]
+    if not len(frag) or not len(other):
+        return none
+    place, need = int(rows["place"].iloc[0]), percent / 100
+    code, unique = pd.factorize(np.concatenate([*frag["sketch"], *other["sketch"]]))
+    fs, os_ = (part["sketch"].map(len).to_numpy() for part in (frag, other))
+    cut = int(fs.sum())
+    # only hashes on both sides count; they are numbered anew
+    common = np.zeros(len(unique), np.int8)
+    common[code[:cut]] |= 1
+    common[code[cut:]] |= 2
+    number = np.where(common == 3, np.cumsum(common == 3) - 1, -1)[code]
+    width = int((common == 3).sum())
+    sides = [(np.repeat(np.arange(len(n)), n), part) for n, part in ((fs, number[:cut]), (os_, number[cut:]))]
+
+    def overlap(k: slice) -> np.ndarray:
+        """Common hashes of some of ``frag`` with all of ``other``, by blocks of columns."""
+        out = np.zeros((len(fs[k]), len(os_)), np.float32)
+        for lo in range(0, width, 4096):
+            block = []
+            for (row, col), (first, n) in zip(sides, ((k.start, len(fs[k])), (0, len(os_)))):
+                here = (col >= lo) & (col < lo + 4096) & (row >= first) & (row < first + n)
+                m = np.zeros((n, min(4096, width - lo)), np.float32)
+                m[row[here] - first, col[here] - lo] = 1
+                block.append(m)
+            out += block[0] @ block[1].T
+        return out
+
+    fx, fy, ox, oy = (np.stack(p[c].to_numpy()) for p in (frag, other) for c in ("x", "y"))
+    fn, on = frag["n"].to_numpy(), other["n"].to_numpy()
+    a, b = [], []
+    for lo in range(0, len(frag), 256):
+        k = slice(lo, lo + 256)
+        both = overlap(k)
+        ok = frag["c"].to_numpy()[k, None] != other["c"].to_numpy()[None]
+        ok &= need * np.maximum(fn[k, None], on[None]) <= np.minimum(fn[k, None], on[None])
+        for i in range(place):
+            ok &= fx[k, None, i] != ox[None, :, i]
+        shared = np.zeros_like(ok)
+        for j in range(fy.shape[1]):
+            shared |= fy[k, None, j] == oy[None, :, j]
+        ok &= shared
+        whole = (fn[k, None] <= SKETCH) & (on[None] <= SKETCH)
+        # whole sets: the similarity itself, but for equal upper halves of hashes; else what a union's sketch holds
+        enough = np.where(whole, need / (1 + need) * (fs[k, None] + os_[None]) - 2, need * SKETCH - slack(SKETCH, need))
+        r, c = np.nonzero(ok & (both >= enough))
+        a.append(frag["id"].to_numpy()[lo + r])
+        b.append(other["id"].to_numpy()[c])
+    a, b = np.concatenate(a), np.concatenate(b)
+    if not len(a):
+        return none
+    by_id = dict(zip(rows["id"], zip(rows["n"], rows["sketch"])))
+    keep = np.ones(len(a), bool)
+    for i, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
+        (n, x), (m, y) = by_id[p], by_id[q]
+        if max(n, m) > SKETCH:  # an estimate from the least hashes of the union
+            least = np.union1d(x, y)[:SKETCH]
+            hits = np.isin(least, x, assume_unique=True) & np.isin(least, y, assume_unique=True)
+            keep[i] = hits.sum() >= need * len(least) - slack(len(least), need)
+    return pd.DataFrame({"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]})
+
+
+def across(members: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, rows: int, tables: int) -> DataFrame:
+    """Pairs (a, b) that may be alike among members of larger buckets, across components."""
+    label = lambda df: df.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    line = "over (partition by key)"
+    # buckets of up to 2 + LEADERS members have been compared in full with their leaders
+    mixed = label(members.filter(F.col("met") > 2 + LEADERS)).selectExpr("id", f"min(c) {line} c0", f"max(c) {line} c1").filter("c0 <> c1")
+    wanted = mixed.select("id").distinct()
+    halves = [F.array(*[half_key(side, i, rows, tables) for i in range(tables)]) for side in (0, 1)]
+    own = written(label(reps.join(wanted, "id")).select("id", "c", "n", halves[0].alias("x"), halves[1].alias("y")), "wanted")
+    if own.isEmpty():
+        return own.selectExpr("id a", "id b").limit(0)
+    cells = own.select("id", "c", F.posexplode("x").alias("place", "key"))
+    per = cells.groupBy("place", "key", "c").agg(F.count(F.lit(1)).alias("size"))
+    per = per.groupBy("place", "key").agg(F.max(F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total")).filter("parts > 1")
+    cells = cells.join(per, ["place", "key"]).withColumn("frag", F.col("c") != F.col("main.c"))
+    texts = likely(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), own.select(F.col("id").alias("doc_id")), "doc_id")
+    sketched = own.select("id", "n", "x", "y").join(sketches_of(texts, words).dropDuplicates(["id"]), "id")
+    sketched = written(sketched, "sketches")
+    # blocks of all members against blocks of those outside the cell's main component
+    count = F.ceil(F.col("total") / BLOCK).cast("int")
+    few = F.ceil((F.col("total") - F.col("main.size")) / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    as_other = cells.select("id", "c", "place", "key", F.lit(False).alias("frag"), block(count).alias("ob"), F.explode(F.sequence(F.lit(0), few - 1)).alias("fb"))
+    as_frag = cells.filter("frag").select("id", "c", "place", "key", F.lit(True).alias("frag"), F.explode(F.sequence(F.lit(0), count - 1)).alias("ob"), block(few).alias("fb"))
+    rows_ = as_other.unionByName(as_frag).join(sketched, "id")
+    pairs = rows_.groupBy("place", "key", "ob", "fb").applyInPandas(lambda pdf: compare_cell(pdf, percent), "a long, b long")
+    return pairs.distinct()
+
+
+def half_key(side: int, i: int, rows: int, tables: int) -> Column:
+    return F.xxhash64(F.lit(side), F.lit(i), *[F.element_at("sig", 1 + (side * tables + i) * rows + r) for r in range(rows)])
+
+
 def table_keys(reps: DataFrame, rows: int, tables: int) -> DataFrame:
     """``id, key``: one row for each of the tables**2 tables."""
-    half = lambda side, i: F.xxhash64(F.lit(side), F.lit(i), *[F.element_at("sig", 1 + (side * tables + i) * rows + r) for r in range(rows)])
-    halves = reps.select("id", F.array(*[half(0, i) for i in range(tables)]).alias("x"), F.array(*[half(1, i) for i in range(tables)]).alias("y"))
+    halves = reps.select("id", *[F.array(*[half_key(side, i, rows, tables) for i in range(tables)]).alias(name) for side, name in enumerate("xy")])
     return halves.select("id", F.explode("x").alias("x"), "y").select("id", "x", F.explode("y").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
 
 
@@ -137,12 +255,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     """The pairs with 100 * intersection >= percent * union, on full sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = written(sets_of(texts.join(ids, "doc_id", "left_semi"), words), "sets")
+    sets = written(sets_of(likely(texts, ids, "doc_id"), words), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b").distinct()
 
 
+def _extended(found: DataFrame, pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components ``found``, joined along those ``pairs`` that are confirmed."""
+    if pairs.isEmpty():
+        return found
+    edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(_confirmed(pairs, docs, words, percent))
+    return written(components(edges), "found")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 2, tables: int = 12, seed: int = 11) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -164,27 +290,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     star = members.join(leaders.filter("rank = 1"), "key").filter("id <> b")
     star = written(_alike(star.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct(), reps, percent), "star")
     found = written(components(_confirmed(star, docs, words, percent)), "found")
-    tried = star
-
-    for full in (False, True):
-        at = members.filter("met > 2").join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("c"))
-        mixed = at.selectExpr("id", "key", "c", "min(c) over (partition by key) c0", "max(c) over (partition by key) c1").filter("c0 <> c1")
-        sizes = reps.select("id", "n", "bits")
-        mixed = mixed.select("id", "key", "c").join(sizes, "id")
-        if full:
-            mixed = written(mixed, "mixed")
-            other = mixed
-        else:
-            other = leaders.filter("rank > 1").withColumnRenamed("b", "id").join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("c")).join(sizes, "id")
-        far = 0.5 * (1 - percent / 100)
-        pairs = mixed.alias("x").join(other.alias("y"), F.expr(f"x.key = y.key and x.c {'>' if full else '<>'} y.c and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.bits ^ y.bits) <= {SIGNATURE * far + slack(SIGNATURE, far)}"))
-        pairs = pairs.select(F.expr("greatest(x.id, y.id)").alias("a"), F.expr("least(x.id, y.id)").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(_alike(pairs, reps, percent), "cross" if full else "led")
-        if pairs.isEmpty():
-            continue
-        joined = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        found = written(components(joined.unionAll(_confirmed(pairs, docs, words, percent))), "found")
-        tried = tried.unionAll(pairs)
+    at = members.filter("met > 2").join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("c"))
+    at = at.selectExpr("id", "key", "c", "min(c) over (partition by key) c0", "max(c) over (partition by key) c1").filter("c0 <> c1")
+    sizes = reps.select("id", "n", "bits")
+    at = at.select("id", "key", "c").join(sizes, "id")
+    led = leaders.filter("rank > 1").withColumnRenamed("b", "id").join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("c")).join(sizes, "id")
+    far = 0.5 * (1 - percent / 100)
+    near = F.expr(f"x.key = y.key and x.c <> y.c and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.bits ^ y.bits) <= {SIGNATURE * far + slack(SIGNATURE, far)}")
+    pairs = at.alias("x").join(led.alias("y"), near).select(F.expr("greatest(x.id, y.id)").alias("a"), F.expr("least(x.id, y.id)").alias("b")).distinct()
+    led = written(_alike(pairs.join(star, ["a", "b"], "left_anti"), reps, percent), "led")
+    found = _extended(found, led, docs, words, percent)
+    cross = written(across(members, found, reps, docs, words, percent, rows, tables), "cross")
+    found = _extended(found, cross, docs, words, percent)
 
     groups = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("root"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"], "left")
