@@ -1,15 +1,17 @@
 """Operators over region maps ``labels(scene, row, col, px, region_id)`` and the tables derived from them.
 
 ``rag(scene, src, dst, first_key)``: directed adjacency; ``regions(scene, region_id, npix, ..., ctr)``.
-Region 0 is nodata.  Everything here is a plan of joins, windows and aggregates; nothing is collected.
+Region 0 is nodata.  Everything here is a plan of joins, windows and aggregates (float means: grouped numpy); nothing is collected.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import FLOAT_EPSILON, distance2_col
+from ..functions.numeric import FLOAT_EPSILON, distance2_col, float_mean, ordered_sum32, pairwise_sum32
 from .graph import dense_ids, exclusive_sum
 from .pixels import EIGHT, FOUR, neighbours
 
@@ -41,6 +43,23 @@ def integer_means(labels: DataFrame, layer: DataFrame, bands: int) -> DataFrame:
     return out.withColumn("ctr", ctr).select("scene", "region_id", "npix", "zeros", "ctr")
 
 
+def float_means(labels: DataFrame, layer: DataFrame, bands: int) -> DataFrame:
+    """``scene, region_id, npix, zeros, ctr`` of single-precision layers.
+
+    The sums depend on their order, which is by pixel (pairwise if there is one band), so a region's samples are
+    added by one task; regions spread over tasks.
+    """
+    rows = labels.filter("region_id <> 0").join(layer.select("scene", "px", "bands"), ["scene", "px"]).select("scene", "region_id", "px", "bands")
+
+    def mean(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(part.sort_values("px")["bands"].to_numpy()).astype(np.float32)
+        add = pairwise_sum32 if bands == 1 else ordered_sum32
+        ctr = [float_mean(add(x[:, b]), len(x)) for b in range(bands)]
+        return pd.DataFrame({"scene": [part["scene"].iloc[0]], "region_id": [part["region_id"].iloc[0]], "npix": [len(x)], "zeros": [int((x == 0).all(axis=1).sum())], "ctr": [ctr]})
+
+    return rows.groupBy("scene", "region_id").applyInPandas(mean, "scene string, region_id long, npix long, zeros long, ctr array<double>")
+
+
 def mostly_nodata(means: DataFrame) -> DataFrame:
     """The regions of which more than half the pixels are zero in all bands."""
     return means.filter("2 * zeros > npix").select("scene", "region_id")

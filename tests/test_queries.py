@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from gridloom.config import SegConfig
+from gridloom.operators import kernel, regions
 from gridloom.plans import catalog, passes, scene
 
 from .conftest import rows_of
@@ -57,3 +58,20 @@ def test_polygons_cover_their_pixels(spark, small):
     sizes = catalog.QUERIES["region_stats"](spark, small).toPandas()
     assert dict(zip(got["region_id"], got["npix"])) == dict(zip(sizes["region_id"], sizes["npix"]))
     assert (got["area"] == got["npix"] * 900.0).all()
+
+
+@pytest.mark.parametrize("bands", [1, 2])
+def test_float_means_and_near_ties_equal_the_kernels(spark, bands):
+    rng = np.random.default_rng(3)
+    ids, layer = np.repeat(np.arange(6), 60), rng.standard_normal((360, bands)).astype(np.float32)
+    labels = spark.createDataFrame([("s", i // 20, i % 20, i, int(g)) for i, g in enumerate(ids)], "scene string, row int, col int, px long, region_id long")
+    table = spark.createDataFrame([("s", i, x.tolist()) for i, x in enumerate(layer)], "scene string, px long, bands array<float>")
+    means = regions.float_means(labels, table, bands)
+    got = {r.region_id: list(r.ctr) for r in means.collect()}
+    want = kernel.region_means(ids, layer, np.arange(1, 6))
+    assert got == {k + 1: row.tolist() for k, row in enumerate(want)}
+    edges = regions.edges_with_distance(regions.adjacency(labels), means)
+    near = {r.region_id: r.nnbr_id for r in regions.nearest_near_ties(edges, 1e-6).collect()}
+    g = kernel.Graph.from_labels(ids, (18, 20), ((0, -1), (1, 0), (0, 1), (-1, 0)))
+    best, _ = kernel._candidates(g, np.concatenate((np.zeros((1, bands)), want)), np.arange(6) > 0)
+    assert near == {k: int(best[k]) for k in range(1, 6)}
