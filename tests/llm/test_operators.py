@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import ann_forest, decontam_fm, lang_kernel, near_dup, packing, quality_cnn, queries, token_rollup, toxicity_kn, url_automaton, warc
-from gridloom.llm.common import auc, components, scratch
+from gridloom.llm.common import auc, components, likely, scratch
 
 from ..conftest import rows_of
 
@@ -45,6 +45,14 @@ def test_components(spark):
     assert components(e.limit(0)).count() == 0
 
 
+def test_likely_rows_hold_all_that_are_asked_for(spark):
+    rows = spark.range(5000).selectExpr("id doc_id", "id _at", "id * 2 _bit")
+    ids = rows.filter("doc_id % 41 = 3").select("doc_id")
+    got = likely(rows.drop("_at", "_bit"), ids, "doc_id")
+    assert ids.join(got, "doc_id", "left_anti").count() == 0 and got.count() < 1000
+    assert likely(rows.select("doc_id"), ids.limit(0), "doc_id").count() == 0
+
+
 def test_near_duplicates_of_odd_rows(odd, no_docs):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(odd, words=2).collect())
     assert got == [(0, 5, None, True), (1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 5, 4, True), (4, 5, 4, True), (5, 5, 4, False), (6, 0, 6, True), (7, 2, 7, True), (8, 2, 8, True)]
