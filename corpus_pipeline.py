@@ -18,17 +18,13 @@ from gridloom.llm.queries import tokenizer_files
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, gives a probability of 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    score = quality_cnn.score_column(spark, quality_cnn.train(docs, labels))
-    return docs.filter(score(F.col("text").cast("string")) >= 0.5)
+    return quality_cnn.good_documents(docs, quality_cnn.train(docs, labels), 0.5)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, in some learned language with probability 0.5 or more; all, if none can be learned."""
     model = lang_kernel.fit(lang_kernel.training_rows(docs, F.lit(False)))
-    if not model.names:
-        return docs
-    decide = lang_kernel.identify_column(spark, model)
-    return docs.filter(decide(F.col("text").cast("string"))["score"] >= 0.5)
+    return lang_kernel.identified_documents(docs, model, 0.5) if model.names else docs
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 ids: ``doc_id, start, length, doc_tokens, ids, sequence_id, offset``."""
-    return packing.pack(packing.cut(docs, *tokenizer_files()), docs.count())
+    return packing.pack(packing.cut(docs, *tokenizer_files()), docs.count(), group_docs=2048)
 
 
 STAGES = [("quality", quality), ("language", language), ("dedup", dedup), ("decontaminate", decontaminate), ("pack", pack)]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..storage import scratch, shared_dir, written
 
-__all__ = ["auc", "bounded_sample", "components", "likely", "logistic", "mix", "scratch", "shared_dir", "utf8", "word_hashes", "written"]
+__all__ = ["auc", "bounded_sample", "components", "kept", "likely", "logistic", "mix", "scratch", "shared_dir", "utf8", "word_hashes", "written"]
 
 #: Bits of the largest filter that :func:`likely` makes: 32 MB, whatever the number of ids.
 FILTER_BITS = 1 << 28
@@ -29,10 +32,20 @@ def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return marked.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)), F.lit(2)) == 1).select(*rows.columns)
 
 
+def kept(docs: DataFrame, decide: Callable[[pa.Array], np.ndarray], column: str = "text", size: int = 512) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose ``column`` is decided for; ``size`` rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                yield part.filter(pa.array(decide(part.column(column)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def utf8(column) -> list[bytes | None]:
     """The values of an Arrow string column as UTF-8 bytes."""
-    import pyarrow as pa
-
     return column.cast(pa.large_binary()).to_pylist()
 
 

@@ -21,16 +21,15 @@ rows with a null language or null text are passed over.  Only the named columns
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, kept
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -159,13 +158,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identify_column(spark: SparkSession, model: LanguageModel) -> Callable[[str], Column]:
-    """A column function: a text column's language and score, as a struct."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def decide(text: pd.Series) -> pd.DataFrame:
-        lang, score = shared.value.decide(list(text))
-        return pd.DataFrame({"lang_pred": lang, "score": score})
-
-    return decide
+def identified_documents(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that have a language with a score of ``least`` or more, all columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept(docs, lambda text: shared.value.decide(text.to_pylist())[1] >= least)

@@ -16,7 +16,7 @@ import base64
 import json
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,12 +35,12 @@ class ByteBPE:
     """
 
     def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(vocabulary)
+        self.vocabulary, self.fast = vocabulary, None
         with open(vocabulary, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        self.fast = None
+            whole = f.read()
+        at = whole.find('"added_tokens"')  # only that list is decoded
+        added = json.JSONDecoder().raw_decode(whole, whole.index("[", at))[0] if at >= 0 else []
+        self.special = [t["content"] for t in added]
         if ranks:
             import tiktoken
 
@@ -48,6 +48,13 @@ class ByteBPE:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def exact(self):  # noqa: ANN201
+        """The library's own tokenizer, loaded when it is first needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -69,19 +76,26 @@ def cut(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str
         bpe = tokenizer(vocabulary, ranks, pattern)
         names = ["doc_id", "deal", "start", "length", "doc_tokens", "ids"]
         types = [pa.int64()] * 5 + [pa.binary()]
+        rows: list[tuple] = []
+        size = 0
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
         for batch in batches:
-            rows, size = [], 0
-            for doc, deal, text in zip(batch.column("doc_id").to_pylist(), batch.column("deal").to_pylist(), utf8(batch.column("text"))):
-                ids = np.append(bpe.ids((text or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
-                for at in range(0, len(ids), length):
-                    piece = ids[at : at + length].tobytes()
-                    rows.append((doc, deal, at, len(piece) // 4, len(ids), piece))
-                    size += len(piece)
-                if size >= 16_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                for doc, deal, text in zip(some.column("doc_id").to_pylist(), some.column("deal").to_pylist(), utf8(some.column("text"))):
+                    ids = np.append(bpe.ids((text or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
+                    for at in range(0, len(ids), length):
+                        piece = ids[at : at + length].tobytes()
+                        rows.append((doc, deal, at, len(piece) // 4, len(ids), piece))
+                        size += len(piece)
+                if size >= 4_000_000:
+                    yield part()
                     rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        if rows:
+            yield part()
 
     key = F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("deal")
     return docs.select(F.col("doc_id").cast("long"), key, F.col("text").cast("string")).mapInArrow(run, "doc_id long, deal long, start long, length long, doc_tokens long, ids binary")
@@ -112,7 +126,10 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack(pieces: DataFrame, documents: int, length: int = 1024, group_docs: int = 8192) -> DataFrame:
-    """``pieces`` of ``documents`` documents with ``sequence_id`` and ``offset``; their other columns are carried along."""
+    """``pieces`` of ``documents`` documents with ``sequence_id`` and ``offset``; their other columns are carried along.
+
+    A task holds one group at a time: with ids among the columns, groups should be smaller.
+    """
     groups = max(1, math.ceil(documents / group_docs))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 

@@ -17,16 +17,15 @@ Ids with contradicting labels are not learned from.  Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, utf8
+from .common import bounded_sample, kept, utf8
 
 CHUNK, WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 512, 8, 4, 6, 40, 24
 STEP = CHUNK - WIDTH + STRIDE
@@ -189,12 +188,7 @@ def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
-def score_column(spark: SparkSession, model: QualityModel) -> Callable[[str], Column]:
-    """A column function: the score of a text column."""
-    given = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(given.value.scores([None if t is None else t.encode() for t in text]))
-
-    return score
+def good_documents(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, all columns unchanged."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
+    return kept(docs, lambda text: given.value.scores(utf8(text)) >= least)
