@@ -143,13 +143,13 @@ def auc(score: np.ndarray, positive: np.ndarray) -> float:
     return float((rank[positive].sum() - p * (p + 1) / 2) / (p * n)) if p and n else float("nan")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression (Newton's method); a column of ones belongs in ``x``."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """Weights of a ridge logistic regression (Newton's method); a column of ones belongs in ``x``, ``weight`` is the rows'."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(x.shape[1])
+        g = x.T @ (weight * (p - y)) / len(y) + ridge * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-9:

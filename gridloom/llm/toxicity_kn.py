@@ -6,7 +6,8 @@ in turn and back off to shared counts: how often each word occurs in all documen
 classes' common rate and chance explain, so rare expressions get the same likelihood from both models.
 
 Score: the difference of the two length-normalised log-likelihoods (mean per word), turned into a probability by a
-logistic regression fitted on texts that the models it scores haven't seen (two halves, crossed).
+logistic regression fitted on texts that the models it scores haven't seen (two halves, crossed), the classes weighted
+to their share of all labels, whatever part of each the sample holds.
 
 Bounds: each class is fitted on at most ``per_class`` labelled texts of at most ``max_bytes`` bytes, those with the least hash; the vocabulary is what they hold, so the model's size is bounded.  Shared counts cover every word of
 every document.  A word of neither class adds only the models' backoff weights, whatever its shared count.
@@ -117,8 +118,11 @@ def _models(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabulary: dic
     return ToxicityModel(vocabulary, codes, logs[0] - logs[1], uni[0] - uni[1], back[0] - back[1], np.zeros(0))
 
 
-def fit(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabulary: dict[bytes, int], shared: np.ndarray) -> ToxicityModel:
-    """Both models and their calibration; ``shared`` are probabilities of words by id, entry 0 unused."""
+def fit(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabulary: dict[bytes, int], shared: np.ndarray, share: float | None = None) -> ToxicityModel:
+    """Both models and their calibration; ``shared`` are probabilities of words by id, entry 0 unused.
+
+    ``share`` is that of toxic texts where the sample was drawn (None: as in the sample).
+    """
     empty = ToxicityModel(vocabulary, np.zeros(0, np.int64), np.zeros(0), np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 2), np.zeros(0))
     if not toxic or not ordinary:
         return empty
@@ -132,7 +136,8 @@ def fit(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabulary: dict[by
     _, errors, x = [t for t in tried if t[0] >= enough][-1]
     model = _models(toxic, ordinary, vocabulary, shared, errors * 2**0.5)  # for twice the texts of a half
     scale = float(x.std()) or 1.0
-    w = logistic(np.stack([x / scale, np.ones(len(x))], axis=1), y, 1e-6)
+    share = y.mean() if share is None else share
+    w = logistic(np.stack([x / scale, np.ones(len(x))], axis=1), y, 1e-6, weight=np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean())))
     model.weights = np.array([max(w[0], 0.0) / scale, w[1]])
     return model
 
@@ -158,6 +163,12 @@ def shared_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.nda
     return counts, int(counts.sum())
 
 
+def toxic_share(labels: DataFrame, label: str) -> float | None:
+    """The share of 1 among the ids labelled 0 or 1 without contradiction; None if there are none."""
+    one = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("other"))
+    return one.filter("y = other and y in (0, 1)").agg(F.avg(F.col("y").cast("double"))).first()[0]
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, max_bytes: int = 16_384) -> ToxicityModel:
     """``labels`` (doc_id, ``label``) names the rows that may be learned from; shared counts are of all ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -169,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     texts = [(c, np.array([vocabulary[w] for w in words], np.int64)) for c, words in sample if words]
     counts, total = shared_counts(rows, vocabulary)
     shared = (counts + 1.0) / (total + len(counts))
-    return fit([t for c, t in texts if c == 1], [t for c, t in texts if c == 0], vocabulary, shared)
+    return fit([t for c, t in texts if c == 1], [t for c, t in texts if c == 0], vocabulary, shared, toxic_share(labels, label))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -270,6 +270,20 @@ def test_toxicity_query(spark, small):
     assert held[held["toxic"] == 0]["predicted"].mean() < 0.02
 
 
+def test_toxicity_threshold_does_not_depend_on_the_sample(spark):
+    rng = np.random.default_rng(9)
+
+    def text(toxic):  # the classes overlap
+        return " ".join(np.where(rng.random(60) < (0.1 if toxic else 0.03), rng.integers(1, 9, 60), rng.integers(9, 1000, 60)).astype(str))
+
+    rows = [(k, text(k % 10 == 0), int(k % 10 == 0)) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity_kn.train(docs, docs.select("doc_id", "toxic"), per_class=150)  # 150 of 150 and of 1350
+    got = docs.join(toxicity_kn.score_documents(docs, model), "doc_id").selectExpr("toxic", "score", "score >= 0.5 p").toPandas()
+    assert abs(got["score"].mean() - 0.1) < 0.05
+    assert got[got["toxic"] == 0]["p"].mean() < 0.03 and got[got["toxic"] == 1]["p"].mean() > 0.4
+
+
 # --- rollups --------------------------------------------------------------------------------------------------
 
 def test_rollup_commits_once(spark):
