@@ -3,8 +3,8 @@
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, which makes the largest inner product the
 smallest angle.  A tree is a full binary tree of hyperplanes, each across the line between two sample vectors, at
 the median of the node's sample.  A query walks all trees through one shared priority queue: the branch with the
-best worst margin comes next, whichever tree it is in, until ``visit`` of all leaves are gathered.  The members of
-those leaves are ranked by exact inner products in double precision, leaf by leaf as matrix products.
+best worst margin comes next, whichever tree it is in, until ``visit`` of all leaves are gathered and those of one
+tree hold k + 1 vectors (the query's own among them).  The members of those leaves are ranked by exact inner products in double precision, leaf by leaf as matrix products.
 
 The trees are fitted on a bounded sample (``sample`` vectors, those with the least hash); every vector is indexed.
 Leaves per tree follow the number of vectors until the sample bounds them.  Leaves are dealt to cells of about
@@ -60,8 +60,12 @@ class Forest:
             out[:, t] = t * self.leaves + node - (self.leaves - 1)
         return out
 
-    def leaves_of(self, x: np.ndarray, visit: int) -> list[list[int]]:
-        """For each query the first ``visit`` leaves that the shared queue yields."""
+    def leaves_of(self, x: np.ndarray, visit: int, sizes: list[int] | None = None, least: int = 0) -> list[list[int]]:
+        """For each query the first ``visit`` leaves that the shared queue yields.
+
+        With ``sizes``, the members of each leaf, more leaves until those of some tree hold ``least``: a tree's leaves
+        share no member, so as many distinct ones are found, or all leaves are visited.
+        """
         x = np.concatenate((x, np.zeros((len(x), 1))), axis=1)
         margins = [x @ w.T - b * np.linalg.norm(x, axis=1)[:, None] / max(self.norm, 1e-300) for w, b in zip(self.normals, self.offsets)]
         inner = self.leaves - 1
@@ -70,7 +74,8 @@ class Forest:
             rows = [m[i].tolist() for m in margins]
             queue = [(-math.inf, t, 0) for t in range(len(rows))]
             found: list[int] = []
-            while queue and len(found) < visit:
+            held = [0] * len(rows)
+            while queue and (len(found) < visit or (sizes is not None and max(held) < least)):
                 worst, t, node = heapq.heappop(queue)
                 while node < inner:  # down the better branch, the other one waits
                     m = rows[t][node]
@@ -79,6 +84,7 @@ class Forest:
                     heapq.heappush(queue, (max(worst, abs(m)), t, far))
                     node = near
                 found.append(t * self.leaves + node - inner)
+                held[t] += sizes[found[-1]] if sizes is not None else 0
             out.append(found)
         return out
 
@@ -192,7 +198,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, key: str = "vec
     member = written(member, "members")
     sizes = {r.leaf: r["count"] for r in member.groupBy("leaf").count().collect()}  # at most trees * leaves rows
     cells = max(1, math.ceil(count * trees / cell_rows))
-    spread = np.array([max(1, math.ceil(sizes.get(i, 0) / cell_rows)) for i in range(trees * forest.leaves)], np.int32)
+    sizes = [sizes.get(i, 0) for i in range(trees * forest.leaves)]
+    spread = np.array([max(1, math.ceil(n / cell_rows)) for n in sizes], np.int32)
 
     owners = written(asked.join(vectors.select("v", "rep"), "v").select(F.col("id").alias("query_id"), "rep").distinct(), "owners")
     q = vectors.select("rep", "v").join(owners.select("rep").distinct(), "rep", "left_semi").withColumnRenamed("rep", "q")
@@ -203,7 +210,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, key: str = "vec
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
                 out: dict[str, list] = {"cell": [], "block": [], "q": [], "v": [], "leaf": []}
-                for name, vec, leaves in zip(part["q"], part["v"], given.value.leaves_of(np.stack(part["v"].to_numpy()), wanted)):
+                for name, vec, leaves in zip(part["q"], part["v"], given.value.leaves_of(np.stack(part["v"].to_numpy()), wanted, sizes, k + 1)):
                     to: dict[int, list[int]] = {}
                     for leaf in leaves:
                         for s in range(int(spread[leaf])):

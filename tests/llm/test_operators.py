@@ -215,6 +215,14 @@ def test_search_with_odd_vectors(spark):
     assert ann_forest.search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_small_tables_give_all_that_there_are(spark):
+    rng = np.random.default_rng(4)
+    for n, k in ((18, 20), (26, 20)):
+        table = spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+        got = ann_forest.search(table, F.lit(True), k=k).groupBy("query_id").count().collect()
+        assert len(got) == n and {r["count"] for r in got} == {min(k, n - 1)}
+
+
 def test_recall(spark, small):
     got = queries.op3_ann_forest(spark, small).toPandas()
     e = spark.read.parquet(f"{small}/embeddings.parquet").toPandas()
