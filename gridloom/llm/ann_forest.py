@@ -134,8 +134,12 @@ def _merge(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndar
     return q[keep], c[keep], s[keep]
 
 
-def rank_cell(members: np.ndarray, leaf: np.ndarray, queries: np.ndarray, visits: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, member row, inner product) of each query's best k among the members of the leaves it visits."""
+def rank_cell(members: np.ndarray, leaf: np.ndarray, queries: np.ndarray, visits: list[np.ndarray], k: int, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, member, inner product): each query's best k among the members of the leaves it visits, and others.
+
+    Members are told apart and ordered by ``code``, or by their rows if it is None.
+    """
+    code = np.arange(len(members)) if code is None else code
     order = np.argsort(leaf, kind="stable")
     bounds = np.flatnonzero(np.concatenate(([True], leaf[order][1:] != leaf[order][:-1], [True]))) if len(leaf) else np.zeros(0, int)
     at = {int(leaf[order[a]]): order[a:b] for a, b in zip(bounds[:-1], bounds[1:])}
@@ -158,11 +162,11 @@ def rank_cell(members: np.ndarray, leaf: np.ndarray, queries: np.ndarray, visits
             r, c = np.nonzero(s >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
             q, c = w[r], m[c]
             qs.append(q)
-            cs.append(c)
+            cs.append(code[c])
             ss.append(np.einsum("ij,ij->i", queries[q], members[c]))  # one fixed order of summation
             size += len(q)
             if size > 500_000:
-                q, c, s = _merge(np.concatenate(qs), np.concatenate(cs), np.concatenate(ss), 4 * k)
+                q, c, s = _merge(np.concatenate(qs), np.concatenate(cs), np.concatenate(ss), k)
                 qs, cs, ss, size = [q], [c], [s], len(q) // 2
     if not qs:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
@@ -229,9 +233,9 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, key: str = "vec
             return pd.DataFrame({"q": [], "c": [], "score": [], "ids": []})
         reps, first, code = np.unique(m["rep"].to_numpy(), return_index=True, return_inverse=True)
         ids = m["ids"].to_numpy()[first]
-        # a member stands once for each tree that has a leaf here; its row is that of its vector
-        qi, ci, s = rank_cell(np.stack(m["v"].to_numpy()), m["leaf"].to_numpy(), np.stack(a["v"].to_numpy()), [np.asarray(x, np.int64) for x in a["leaf"]], k + 1)
-        qi, ci, s = _merge(qi, code[ci], s, k + 1)
+        # a member stands once for each tree that has a leaf here, always with its vector's code
+        qi, ci, s = rank_cell(np.stack(m["v"].to_numpy()), m["leaf"].to_numpy(), np.stack(a["v"].to_numpy()), [np.asarray(x, np.int64) for x in a["leaf"]], k + 1, code)
+        qi, ci, s = _merge(qi, ci, s, k + 1)
         return pd.DataFrame({"q": a["q"].to_numpy()[qi], "c": reps[ci], "score": s, "ids": ids[ci]})
 
     found = held.groupBy("cell", "block").cogroup(asks.groupBy("cell", "block")).applyInPandas(rank, "q long, c long, score double, ids array<long>")

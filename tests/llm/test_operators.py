@@ -223,6 +223,17 @@ def test_small_tables_give_all_that_there_are(spark):
         assert len(got) == n and {r["count"] for r in got} == {min(k, n - 1)}
 
 
+def test_ties_of_binary_vectors(spark):
+    x = (np.arange(1, 2048)[:, None] >> np.arange(11)) & 1  # a query's best may be tied with a thousand others
+    ids = np.random.default_rng(6).permutation(len(x))
+    table = spark.createDataFrame([(int(i), v.astype(float).tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = ann_forest.search(table, F.lit(True), k=5, visit=1.0).toPandas()
+    score = x @ x.T
+    np.fill_diagonal(score, -1)
+    want = {int(ids[q]): ids[np.lexsort((ids, -score[q]))[:5]].tolist() for q in range(len(x))}
+    assert {q: g.sort_values("rank")["vec_id"].tolist() for q, g in got.groupby("query_id")} == want
+
+
 def test_recall(spark, small):
     got = queries.op3_ann_forest(spark, small).toPandas()
     e = spark.read.parquet(f"{small}/embeddings.parquet").toPandas()
