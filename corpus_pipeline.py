@@ -28,13 +28,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the least doc_id.
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8): the least doc_id.
 
-    Rows without doc_id are all kept.
+    Rows are told apart by a key of their own, so rows that share a doc_id, or have none, are judged by their texts.
+    In a group, rows without doc_id come last and rows that share one in the order of their texts' hashes.  Wordless
+    rows are in no group: those with equal doc_id and text count once, those without doc_id are all kept.
     """
-    kept = near_dup.near_duplicates(docs, words=5, percent=80).filter("kept and doc_id is not null").select("doc_id")
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.filter("doc_id is null"))
+    row = "_row"
+    while row in (c.lower() for c in docs.columns):
+        row += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # written, so keys stay
+    found = near_dup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias(row), "n_shingles", "component_id")
+    text = F.col("text").cast("string")
+    marks = rows.select(row, F.col("doc_id").alias("doc"), F.xxhash64(text).alias("h"), F.when(text.rlike(r"^[\x20\t-\r]*$"), text).alias("blank"))
+    wordless = F.col("n_shingles") == 0
+    group = [F.when(~wordless | F.col("doc").isNull(), F.col("component_id")).alias("group"), F.when(wordless, F.col("doc")).alias("doc_"), F.when(wordless, F.col("blank")).alias("blank_")]
+    first = F.min(F.struct(F.col("doc").isNull(), "doc", "h", row))[row]
+    kept = found.join(marks, row).groupBy(*group).agg(first.alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -372,3 +372,13 @@ def test_pipeline_with_odd_rows(spark, odd, small):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, small)
         out.count()
+
+
+def test_pipeline_dedup_tells_rows_apart(spark, small):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, a), (None, c), (None, c), (5, ""), (5, ""), (5, " "), (6, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(7))
+    got = corpus_pipeline.dedup(spark, docs, small)
+    assert got.columns == docs.columns
+    want = [(1, a), (1, b), (None, c), (5, ""), (5, " "), (6, ""), (None, "")]
+    assert sorted(((r.doc_id or 0, r.text) for r in got.collect())) == sorted((i or 0, t) for i, t in want)
