@@ -12,24 +12,29 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..storage import scratch, shared_dir, written
 
-__all__ = ["auc", "bounded_sample", "components", "kept", "likely", "logistic", "mix", "scratch", "shared_dir", "utf8", "word_hashes", "written"]
+__all__ = ["auc", "bounded_sample", "components", "kept", "likely", "logistic", "marked", "mix", "scratch", "shared_dir", "utf8", "word_hashes", "written"]
 
 #: Bits of the largest filter that :func:`likely` makes: 32 MB, whatever the number of ids.
 FILTER_BITS = 1 << 28
 
 
-def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The ``rows`` whose ``key`` is among ``ids`` (a column of that name), and a few others; nothing is shuffled.
+def marked(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: true where ``key`` is among ``ids`` (a column of that name), and in a few other rows.
 
-    A bitmap of hashed ids, of bounded size, is broadcast and lets those rows pass.  Callers join the result by id, so
-    the others cost only their own work.  Rows without key may pass too.
+    A bitmap of hashed ids, of bounded size, is broadcast: nothing is shuffled.  Rows without key may be true too.
     """
     bits = min(FILTER_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
-    at = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
-    marks = ids.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    at = lambda: F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    marks = ids.select(at().alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = rows.withColumns({"_bucket": F.bitmap_bucket_number(at), "_bit": F.bitmap_bit_position(at)}).join(F.broadcast(marks), "_bucket")
-    return marked.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)), F.lit(2)) == 1).select(*rows.columns)
+    found = rows.withColumns({"_bucket": F.bitmap_bucket_number(at()), "_bit": F.bitmap_bit_position(at())}).join(F.broadcast(marks), "_bucket", "left")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)), F.lit(2)) == 1
+    return found.select(*[F.col(c) for c in rows.columns], F.coalesce(bit, F.lit(False)).alias(name))
+
+
+def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is among ``ids``, and a few others; callers join the result by id."""
+    return marked(rows, ids, key, "_likely").filter("_likely").select(*rows.columns)
 
 
 def kept(docs: DataFrame, decide: Callable[[pa.Array], np.ndarray], column: str = "text", size: int = 512) -> DataFrame:

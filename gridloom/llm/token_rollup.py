@@ -7,7 +7,9 @@ revised count, or a document that moves between groups, needs no look-up of old
 
 Commits are idempotent.  A batch's sums are written first, under a name of their own; then one marker file, created
 only if absent, names them.  Repeating a batch id is a no-op, whether it succeeded before or a concurrent writer
-won; sums without a marker (a failed attempt) are never read.  ``compact`` folds committed batches into one.
+won; sums without a marker (a failed attempt) are never read.  ``compact`` folds committed batches into one table: it
+lists the markers once, sums what they name and names just those, so a batch committed meanwhile counts once, later.
+Readers too take one list of markers; those of folded batches aren't opened again.
 
 Rows: null source, language or tokenizer are groups of their own; a null or empty text has 0 tokens and is still a
 document.  Repeated change rows count as often as they occur.  Groups whose documents and tokens are both 0 are
@@ -34,9 +36,8 @@ _SIDE = "struct<source: string, lang: string, tokenizer: string, tokens: long>"
 
 
 def whitespace_tokens(text: Column) -> Column:
-    """Maximal runs of characters other than ASCII white space, counted where one begins."""
-    t = F.coalesce(text, F.lit(""))
-    return F.length(F.regexp_replace(t, r"[^\x20\x09-\x0D]+", "w")) - F.length(F.regexp_replace(t, r"[^\x20\x09-\x0D]+", ""))
+    """Maximal runs of characters other than ASCII white space."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
 
 
 def subword_tokens(docs: DataFrame, columns: list[str], vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -121,21 +122,29 @@ class RollupStore:
         signed_sums(changes).coalesce(1).write.parquet(f"{self.path}/{part}")
         return self._create(self._marker(batch), {"batch": batch, "sums": part})
 
-    def _markers(self) -> list[dict]:
-        found = [self._read(f"commits/{s.getPath().getName()}") for s in self._fs.listStatus(self._p("commits")) if s.getPath().getName().endswith(".json")]
-        return sorted(found, key=lambda m: m["batch"])
-
-    def totals(self) -> DataFrame:
-        """``source, lang, tokenizer, docs, tokens`` over all committed batches."""
+    def _state(self) -> tuple[list[str], list[str]]:
+        """The sums that count now, and the ids of the batches in them: the newest fold, and every marker beyond it."""
         folded = self._folded()
-        parts = [m["sums"] for m in self._markers() if m["batch"] not in folded["batches"]] + folded["sums"]
+        known = {self._marker(b) for b in folded["batches"]}
+        names = sorted(f"commits/{s.getPath().getName()}" for s in self._fs.listStatus(self._p("commits")) if s.getPath().getName().endswith(".json"))
+        new = [self._read(n) for n in names if n not in known]
+        return folded["sums"] + [m["sums"] for m in new], sorted([*folded["batches"], *[m["batch"] for m in new]])
+
+    def _sum(self, parts: list[str]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], SUMS)
         rows = self.spark.read.schema(SUMS).parquet(*[f"{self.path}/{p}" for p in parts])
         return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """``source, lang, tokenizer, docs, tokens`` over all committed batches."""
+        return self._sum(self._state()[0])
+
     def _folded(self) -> dict:
-        """The newest compaction: its sums, and the batches they hold."""
+        """The compaction that holds most batches: its sums, and the batches they hold.
+
+        Each fold names all batches in its own sums, so concurrent compactions and any one of them are right.
+        """
         if not self._fs.exists(self._p("folds")):
             return {"batches": [], "sums": []}
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._p("folds")) if s.getPath().getName().endswith(".json"))
@@ -143,9 +152,8 @@ class RollupStore:
 
     def compact(self) -> None:
         """Fold all committed batches into one table of sums; batch ids stay known, so commits stay idempotent."""
-        batches = [m["batch"] for m in self._markers()]
-        folded = self._folded()
+        parts, batches = self._state()
         part = f"sums/{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{self.path}/{part}")
+        self._sum(parts).coalesce(1).write.parquet(f"{self.path}/{part}")
         self._fs.mkdirs(self._p("folds"))
-        self._create(f"folds/{len(batches):012d}-{uuid.uuid4().hex}.json", {"batches": sorted({*batches, *folded["batches"]}), "sums": [part]})
+        self._create(f"folds/{len(batches):012d}-{uuid.uuid4().hex}.json", {"batches": batches, "sums": [part]})
