@@ -167,7 +167,10 @@ pairs AS (
   SELECT a.rep AS x, b.rep AS y, a.n AS na, b.n AS nb, count(*) AS both
   FROM u a JOIN u b ON a.shingle = b.shingle AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
   GROUP BY ALL HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+several AS (SELECT doc_id FROM s WHERE len(shingles) > 0 GROUP BY doc_id HAVING count(DISTINCT shingles) > 1),
+same AS (SELECT DISTINCT s.doc_id AS x, c.rep AS y FROM s JOIN several USING (doc_id) JOIN c ON s.shingles = c.shingles WHERE s.doc_id <> c.rep),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT x, y FROM same),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(x, y) AS (SELECT rep, rep FROM c UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
 root AS (SELECT x AS rep, min(y) AS component FROM reach GROUP BY x)
 SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(root.component, s.doc_id) AS component_id,
