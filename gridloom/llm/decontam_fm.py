@@ -6,6 +6,11 @@ Only the other runs are indexed, separated by symbol 0.  Each shard's index is a
 Burrows-Wheeler transform in a wavelet matrix; all windows are backward-searched at once; occurrences are located
 by LF steps to sampled suffix positions and merged into removal spans.
 
+Tasks are given the benchmark's windows as a broadcast of at most about ``BLOCK_BYTES`` bytes of benchmark text.  A
+larger benchmark is searched in blocks of that size, each in a pass of its own over the documents, and the spans and items
+of a document are united over the passes; items are dealt to blocks by hash, long ones in pieces that overlap by a
+window less one word.
+
 Words: A-Z lower-cased, then maximal runs of characters other than ASCII non-alphanumerics.  A window is
 ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
@@ -16,6 +21,8 @@ an id count once.  An empty benchmark hits nothing.  Other columns are not read.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import utf8, written
 
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Symbols or bytes of text after which a shard is closed and indexed; the largest benchmark that tasks are given.
+#: Symbols or bytes of text after which a shard is closed and indexed.
 SHARD_SYMBOLS, SHARD_BYTES = 1 << 20, 64 << 20
-MAX_BENCHMARK_BYTES = 64 << 20
+#: Bytes of benchmark text that one pass searches for, and of a piece of a long item.
+BLOCK_BYTES, PIECE_BYTES = 8 << 20, 256 << 10
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -124,17 +132,25 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.names)}
+        rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for item, words in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words)
-            for at in range(max(1, len(ids) - window + 1)) if ids else ():
-                owners.setdefault(ids[at : at + window], set()).add(item)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.lengths = np.array([len(x) for x in owners], np.int64)
-        self.phrases = np.zeros((len(owners), window), np.int64)
-        for k, x in enumerate(owners):
-            self.phrases[k, window - len(x) :] = x
-        self.shortest = int(self.lengths.min()) if len(owners) else 0
+            if not words:
+                continue
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32)
+            short = max(0, window - len(ids))  # right-aligned, zeros before
+            rows.append(np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(short, np.int32), ids)), window))
+            owner.append(np.full(len(rows[-1]), number[item], np.int32))
+        self.phrases, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.phrases > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min()) if len(self.phrases) else 0
+        pairs = np.unique(which.ravel().astype(np.int64) * max(1, len(self.names)) + np.concatenate(owner))
+        of, self.owner = np.divmod(pairs, max(1, len(self.names)))
+        self.first = np.searchsorted(of, np.arange(len(self.phrases) + 1))
+
+    def owners(self, phrase: int) -> list[str]:
+        return [self.names[k] for k in self.owner[self.first[phrase] : self.first[phrase + 1]]]
 
 
 def _runs(ids: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -167,17 +183,40 @@ def search_shard(runs: list[tuple[int, int, np.ndarray]], windows: Windows) -> d
             spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
         else:
             spans.append((b, end))
-        items.update(windows.owners[p])
+        items.update(windows.owners(p))
+    return out
+
+
+def pieces_of(words: list[bytes], window: int, size: int) -> list[list[bytes]]:
+    """``words`` in runs of up to ``size`` bytes that overlap by ``window`` - 1 words, so that each window is in one."""
+    ends = np.cumsum([len(w) + 1 for w in words])
+    out, at = [], 0
+    while at == 0 or at < len(words) - window + 1:
+        end = max(at + window, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        out.append(words[at:end])
+        at = end - window + 1
     return out
 
 
-def benchmark_windows(benchmark: DataFrame, window: int, limit: int = MAX_BENCHMARK_BYTES) -> Windows:
-    """The windows of a whole benchmark; refuses one too large to hand to every task."""
+def benchmark_blocks(benchmark: DataFrame, window: int, limit: int = BLOCK_BYTES) -> Iterator[Windows]:
+    """The windows of a whole benchmark, in blocks of about ``limit`` bytes of text; one block, maybe empty, at least."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > limit:
-        raise ValueError(f"the benchmark has {size} bytes of text and tasks take {limit}: search it in blocks of items")
-    return Windows([(r.item, words_of(r.text.encode())) for r in rows.collect()], window)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if size <= limit:
+        yield Windows([(r.item, words_of(r.text.encode())) for r in rows.collect()], window)
+        return
+    piece = max(1, min(PIECE_BYTES, limit // 16))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), utf8(batch.column("text"))):
+                parts = [b" ".join(p).decode() for p in pieces_of(words_of(text), window, piece)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["item", "text"])
+
+    blocks = math.ceil(2 * size / limit)
+    dealt = written(rows.mapInArrow(cut, "item string, text string").withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "benchmark")
+    for k in range(blocks):
+        yield Windows([(r.item, words_of(r.text.encode())) for r in dealt.filter(F.col("block") == k).collect()], window)
 
 
 class Shard:
@@ -214,45 +253,103 @@ class Shard:
         return out
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """``doc_id, n_words, n_hit, items, spans``: spans are word intervals [start, end) to remove, merged and in order."""
-    windows = benchmark_windows(benchmark, window)
-    pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pair))
+_PAIR = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+
+
+def _search(rows: DataFrame, key: str, windows: Windows, hits_only: bool = False) -> DataFrame:
+    """``key, n_words, n_hit, items, spans`` of the rows (``key``, ``text``) for one block of windows."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(_PAIR))
+    given = rows.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids = Shard(windows), []
+        shard, ids = Shard(given.value), []
 
-        def close() -> pa.RecordBatch:
-            rows = [(d, n, sum(e - b for b, e in s), items, [{"start": b, "end": e} for b, e in s]) for d, (n, s, items) in zip(ids, shard.close())]
+        def close() -> Iterator[pa.RecordBatch]:
+            found = [(d, n, sum(e - b for b, e in s), items, [{"start": b, "end": e} for b, e in s]) for d, (n, s, items) in zip(ids, shard.close()) if s or not hits_only]
             ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=[key, "n_words", "n_hit", "items", "spans"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids += part.column("doc_id").to_pylist()
+                ids += part.column(key).to_pylist()
                 for text in utf8(part.column("text")):
                     shard.add(text)
                 if shard.full:
-                    yield close()
+                    yield from close()
         if ids:
-            yield close()
+            yield from close()
+
+    return rows.select(key, "text").mapInArrow(run, f"`{key}` long, {_FOUND}")
 
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans [start, end) in order, those that meet or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and b <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((b, e))
+    return out
+
+
+def _search_blocks(rows: DataFrame, key: str, first: Windows, others: Iterator[Windows]) -> DataFrame:
+    """As :func:`_search`, for several blocks; ``key`` must tell the rows apart."""
+    found = written(_search(rows, key, first), "block")
+    for windows in others:
+        found = found.unionAll(written(_search(rows, key, windows, hits_only=True), "block"))
+    lists = found.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [united([(s["start"], s["end"]) for s in row]) for row in batch.column("spans").to_pylist()]
+            hits = pa.array([sum(e - b for b, e in s) for s in spans], pa.int64())
+            merged = pa.array([[{"start": b, "end": e} for b, e in s] for s in spans], pa.list_(_PAIR))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("n_words"), hits, batch.column("items"), merged], names=[key, "n_words", "n_hit", "items", "spans"])
+
+    return lists.mapInArrow(merge, f"`{key}` long, {_FOUND}")
+
+
+def _free_name(columns: list[str]) -> str:
+    name = "_row"
+    while name in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, limit: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id, n_words, n_hit, items, spans``: spans are word intervals [start, end) to remove, merged and in order."""
+    blocks = benchmark_blocks(benchmark, window, limit)
+    first, rows = next(blocks), docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    second = next(blocks, None)
+    if second is None:
+        return _search(rows, "doc_id", first)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so rows keep their numbers
+    found = _search_blocks(rows, "row", first, itertools.chain([second], blocks))
+    return rows.select("row", "doc_id").join(found, "row").drop("row")
 
 
 def is_contaminated(n_hit: int, n_words: int, percent: int) -> bool:
     return n_hit > 0 and 100 * n_hit >= percent * n_words
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that aren't contaminated; nothing is shuffled."""
-    windows = benchmark_windows(benchmark, window)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that aren't contaminated; nothing is shuffled if the benchmark is one block."""
+    blocks = benchmark_blocks(benchmark, window, limit)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        row = _free_name(docs.columns)
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        found = _search_blocks(rows.select(F.col(row).alias("row"), F.col("text").cast("string")), "row", first, itertools.chain([second], blocks))
+        bad = judged(found, percent).filter("contaminated").select(F.col("row").alias(row))
+        return rows.join(bad, row, "left_anti").select(*docs.columns)
+    given = docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = Shard(windows), []
+        shard, held = Shard(given.value), []
 
         def close() -> Iterator[pa.RecordBatch]:
             keep = [not is_contaminated(sum(e - b for b, e in s), n, percent) for n, s, _ in shard.close()]
