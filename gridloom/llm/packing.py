@@ -15,6 +15,8 @@ from __future__ import annotations
 import base64
 import json
 import math
+import struct
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, cached_property
 
@@ -69,11 +71,16 @@ def tokenizer(vocabulary: str, ranks: str | None, pattern: str | None) -> ByteBP
 def cut(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, length: int = 1024, end_id: int = 0) -> DataFrame:
     """``doc_id, deal, start, length, doc_tokens, ids``: the pieces; ids are little-endian unsigned 32-bit, as bytes.
 
-    ``deal`` is a hash of the document's row, by which :func:`pack` deals documents into groups.
+    ``deal``, by which :func:`pack` deals documents into groups, is a hash of the document's id and text, its partition
+    and its number among equal rows there: copies are spread, and a partition that is computed again, in whatever
+    order, deals its documents the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         bpe = tokenizer(vocabulary, ranks, pattern)
+        copies: Counter[int] = Counter()
         names = ["doc_id", "deal", "start", "length", "doc_tokens", "ids"]
         types = [pa.int64()] * 5 + [pa.binary()]
         rows: list[tuple] = []
@@ -85,7 +92,10 @@ def cut(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                for doc, deal, text in zip(some.column("doc_id").to_pylist(), some.column("deal").to_pylist(), utf8(some.column("text"))):
+                for doc, place, text in zip(some.column("doc_id").to_pylist(), some.column("place").to_pylist(), utf8(some.column("text"))):
+                    row = xxhash.xxh64_intdigest(text or b"", seed=(doc or 0) & 0xFFFFFFFFFFFFFFFF)
+                    copies[row] += 1
+                    deal = xxhash.xxh64_intdigest(struct.pack("<QQQ", row, place, copies[row])) - 2**63
                     ids = np.append(bpe.ids((text or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
                     for at in range(0, len(ids), length):
                         piece = ids[at : at + length].tobytes()
@@ -97,8 +107,7 @@ def cut(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str
         if rows:
             yield part()
 
-    key = F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("deal")
-    return docs.select(F.col("doc_id").cast("long"), key, F.col("text").cast("string")).mapInArrow(run, "doc_id long, deal long, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.spark_partition_id().alias("place"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, deal long, start long, length long, doc_tokens long, ids binary")
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
