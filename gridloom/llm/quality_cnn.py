@@ -1,10 +1,11 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text's UTF-8 bytes are cut into chunks of ``CHUNK`` bytes that overlap by the filter width less one stride, so
-every window of the whole text is seen by the filters.  Bytes are embedded (learned), convolved with learned
-filters (``WIDTH`` bytes, stride ``STRIDE``) and rectified; each filter is max-pooled over a chunk; the document's
-features are the means of its chunks' maxima, and how full its chunks are.  A hidden layer and one logistic unit
-combine them into the probability.
+A text's UTF-8 bytes are cut into chunks of ``CHUNK`` bytes that overlap by the filter width less one stride.  Bytes
+are embedded (learned), convolved with learned filters (``WIDTH`` bytes) at a stride of ``STRIDE`` bytes and rectified.
+The windows begin at every ``STRIDE``-th byte from the text's beginning to its end, across chunks too, and overlap by
+half, so every byte of the whole text is seen by each filter at two places (the first ``STRIDE`` and the last few bytes
+at one); windows that begin in between aren't.  Each filter is max-pooled over a chunk; the document's features are
+the means of its chunks' maxima.  A hidden layer and one logistic unit combine them into the probability.
 
 Fitted by Adam on a bounded sample: at most ``per_class`` labelled texts of each class, those with the least hash,
 of at most ``max_bytes`` bytes; classes are weighted to their share.  Fitting is seeded and repeatable.
@@ -39,7 +40,7 @@ class QualityModel:
     embed: np.ndarray  # (256, DIM); byte 0 is also the padding
     filters: np.ndarray  # (WIDTH * DIM, FILTERS)
     bias: np.ndarray  # (FILTERS,)
-    hidden: np.ndarray  # (FILTERS + 2, HIDDEN); the last rows are for the fill and the bias
+    hidden: np.ndarray  # (FILTERS + 1, HIDDEN); the last row is the bias
     out: np.ndarray  # (HIDDEN + 1,)
     fitted: bool = True
 
@@ -60,8 +61,7 @@ class QualityModel:
 
     def logits(self, chunks: np.ndarray, counts: np.ndarray) -> np.ndarray:
         sums = np.add.reduceat(self.pooled(chunks).astype(np.float64), np.cumsum(counts) - counts, axis=0)
-        full = np.add.reduceat((chunks != 0).mean(axis=1), np.cumsum(counts) - counts)
-        f = np.concatenate((sums / counts[:, None], (full / counts)[:, None], np.ones((len(counts), 1))), axis=1)
+        f = np.concatenate((sums / counts[:, None], np.ones((len(counts), 1))), axis=1)
         return np.maximum(f @ self.hidden, 0) @ self.out[:-1] + float(self.out[-1])
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
@@ -99,7 +99,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, step
     """``labels`` are 0 or 1; ``share`` is that of label 1 where the sample was drawn (None: as in the sample).  A document takes part in a step with at most 4 of its chunks, spread over all of it."""
     rng = np.random.default_rng(seed)
     init = lambda *s: rng.standard_normal(s).astype(np.float32)
-    m = QualityModel(init(256, DIM) * 0.5, init(WIDTH * DIM, FILTERS) / np.float32(np.sqrt(WIDTH * DIM)), np.zeros(FILTERS, np.float32), init(FILTERS + 2, HIDDEN) / np.float32(np.sqrt(FILTERS)), init(HIDDEN + 1) * 0.2)
+    m = QualityModel(init(256, DIM) * 0.5, init(WIDTH * DIM, FILTERS) / np.float32(np.sqrt(WIDTH * DIM)), np.zeros(FILTERS, np.float32), init(FILTERS + 1, HIDDEN) / np.float32(np.sqrt(FILTERS)), init(HIDDEN + 1) * 0.2)
     if len(set(labels.tolist())) < 2:
         m.fitted = False
         return m
@@ -108,7 +108,6 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, step
     first = np.cumsum(counts) - counts
     params = [m.embed, m.filters, m.bias, m.hidden, m.out]
     moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    fill = (chunks != 0).mean(axis=1).astype(np.float32)
     done = 0
     while done < steps:
         order = rng.permutation(len(texts))
@@ -124,9 +123,8 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, step
             h = np.take_along_axis(y, top[:, None, :], axis=1)[:, 0] + m.bias
             live = h > 0
             h = h * live
-            f = np.zeros((len(docs), FILTERS + 2), np.float32)
+            f = np.zeros((len(docs), FILTERS + 1), np.float32)
             np.add.at(f[:, :FILTERS], owner, h * part_of[:, None])
-            np.add.at(f[:, FILTERS], owner, fill[np.concatenate(picked)] * part_of)
             f[:, -1] = 1
             z = np.maximum(f @ m.hidden, 0)
             p = 1 / (1 + np.exp(-np.clip(z @ m.out[:-1] + m.out[-1], -30, 30)))
