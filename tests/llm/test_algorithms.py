@@ -1,9 +1,11 @@
 """The corpus operators' algorithms against brute force, without Spark."""
 
+import heapq
+import math
 import random
 import re
 import struct
-import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,7 +57,7 @@ def test_cells_find_what_sketches_allow():
     rng = np.random.default_rng(2)
     base = rng.choice(2**31, 150, replace=False)
     sets = [np.sort(np.concatenate((base[k:], rng.choice(2**31, k, replace=False)))) for k in (0, 5, 60, 10)]
-    rows = [{"id": i, "c": c, "n": len(s), "x": [1, 2], "y": [3, 4], "sketch": s.tolist(), "place": 0, "frag": f} for i, (s, c) in enumerate(zip(sets, (9, 7, 7, 9))) for f in (False, True) if not f or c == 7]
+    rows = [{"node": i, "c": c, "n": len(s), "x": [1, 2], "y": [3, 4], "sketch": s.tolist(), "place": 0, "frag": f} for i, (s, c) in enumerate(zip(sets, (9, 7, 7, 9))) for f in (False, True) if not f or c == 7]
     got = near_dup.compare_cell(pd.DataFrame(rows), 80)
     assert set(zip(got["a"], got["b"])) == {(1, 0), (3, 1)}
 
@@ -98,6 +100,14 @@ def test_overlaps_equal_brute_force(texts, items):
     assert got == [plain_overlaps(t, named, 3) for t in texts]
 
 
+@given(st.lists(st.binary(min_size=1, max_size=4), min_size=1, max_size=40), st.integers(1, 6), st.integers(1, 30))
+@settings(max_examples=100, deadline=None)
+def test_pieces_hold_each_window_once(words, window, size):
+    pieces = decontam_fm.pieces_of(words, window, size)
+    inside = [tuple(p[i : i + window]) for p in pieces for i in range(max(1, len(p) - window + 1))]
+    assert inside == [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+
+
 def test_spans_are_removed():
     assert decontam_fm.remove_spans("a b, c d e", [(1, 3)]) == "a  d e"
 
@@ -203,27 +213,89 @@ def test_truncated_archives_are_refused():
 
 # --- nearest neighbours ---------------------------------------------------------------------------------------
 
+def popped(forest, x, visit):
+    """The leaves that a heap shared by all trees yields, one branch at a time."""
+    x = np.append(x, 0.0) * forest.norm / np.linalg.norm(x)
+    queue, out = [(0.0, 0, t) for t in range(forest.trees)], []
+    while queue and len(out) < visit:
+        cost, level, node = heapq.heappop(queue)
+        if level == forest.depth:
+            out.append(node)
+            continue
+        m = 1.702 * (x @ forest.normals[level][node] - forest.offsets[level][node]) / forest.spread
+        heapq.heappush(queue, (cost + math.log1p(math.exp(m)), level + 1, 2 * node))
+        heapq.heappush(queue, (cost + math.log1p(math.exp(-m)), level + 1, 2 * node + 1))
+    return out
+
+
 def test_forest_routes_and_walks():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((600, 16))
     forest = ann_forest.grow(x, float(np.linalg.norm(x, axis=1).max()), 3, 4)
     leaf = forest.route(x)
-    assert leaf.shape == (600, 3) and leaf.max() < 3 * 16
-    every = forest.leaves_of(x[:5], 48)
+    assert leaf.shape == (600, 3) and (leaf // 16 == np.arange(3)).all()
+    every = forest.leaves_of(x[:5], 99)
     assert all(sorted(v) == list(range(48)) for v in every)
+    for visit in (1, 3, 7, 20, 48):
+        assert [v.tolist() for v in forest.leaves_of(x[:9], visit)] == [popped(forest, q, visit) for q in x[:9]]
+    sizes = np.bincount(leaf.ravel(), minlength=48)
+    for v in forest.leaves_of(x[:9], 2, sizes, 200):
+        assert max(sizes[v[v // 16 == t]].sum() for t in range(3)) >= 200
 
 
-def test_cell_ranking_equals_brute_force():
+def test_cell_search_equals_brute_force():
     rng = np.random.default_rng(1)
     members, queries = rng.integers(-2, 3, (80, 6)).astype(float), rng.integers(-2, 3, (9, 6)).astype(float)
-    leaf = rng.integers(0, 5, 80)
-    visits = [rng.choice(5, 3, replace=False) for _ in range(9)]
-    q, c, s = ann_forest._merge(*ann_forest.rank_cell(members, leaf, queries, visits, 7), 7)
-    for i in range(9):
-        own = np.flatnonzero(np.isin(leaf, visits[i]))
-        score = members[own] @ queries[i]
-        best = own[np.lexsort((own, -score))[:7]]
-        assert c[q == i].tolist() == best.tolist()
+    leaf, rep = rng.integers(0, 9, 80), rng.permutation(80)
+    for k in (3, 7, 100):
+        visits = [rng.choice(9, n, replace=False) for n in (0, 1, 2, 3, 5, 9, 9, 4, 2)]
+        cell = ann_forest.Cell(members, leaf, rep)
+        q, c, s = cell.nearest(queries, visits, k)
+        for i in range(9):
+            own = np.flatnonzero(np.isin(leaf, visits[i]))
+            score = members[own] @ queries[i]
+            best = own[np.lexsort((rep[own], -score))[:k]]
+            assert cell.rep[c[q == i]].tolist() == rep[best].tolist() and np.allclose(s[q == i], np.sort(score)[::-1][:k])
+        assert cell.products == sum(np.isin(leaf, v).sum() for v in visits)
+
+
+def test_leaves_are_dealt_to_cells():
+    rng = np.random.default_rng(2)
+    sizes = np.concatenate((rng.integers(0, 40, 32), [0, 500, 3, 90, *[1] * 28]))
+    first, spread, cells = ann_forest.deal(sizes, 2, 100)
+    held = np.zeros(cells)
+    for leaf, (f, n) in enumerate(zip(first, spread)):
+        assert n == max(1, -(-sizes[leaf] // 100)) and f + n <= cells
+        held[f : f + n] += sizes[leaf] / n
+    assert held.max() <= 100
+    assert not {*first[:32]} & {f for f, z in zip(first[32:], sizes[32:]) if z}
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_forest_saves_work_and_finds_neighbours(clustered):
+    """51 282 vectors, the size of the check tool's larger table: without any structure, and in clusters."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((51_282, 64))
+    if clustered:
+        x = rng.standard_normal((300, 64))[rng.integers(0, 300, len(x))] + 0.4 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sample = x[rng.permutation(len(x))[:32_768]]
+    forest = ann_forest.grow(sample, 1.0, 4, 12)
+    visit = ann_forest.tune(forest, sample, 20, 0.93)
+    leaf = forest.route(x)
+    asked = rng.choice(len(x), 100, replace=False)
+    found = forest.leaves_of(x[asked], visit, np.bincount(leaf.ravel(), minlength=4 * 4096), 21)
+    recall, products = [], []
+    for i, own in zip(asked, found):
+        on = np.zeros(4 * 4096, bool)
+        on[own] = True
+        times = on[leaf].sum(axis=1)
+        score = x @ x[i]
+        score[i] = -np.inf
+        best = np.argpartition(-score, 20)[:20]
+        recall.append((times[best] > 0).mean())
+        products.append(times.sum() / len(x))
+    assert np.mean(recall) >= 0.9 and np.mean(products) < (0.05 if clustered else 0.5), (np.mean(recall), np.mean(products))
 
 
 # --- classifiers ----------------------------------------------------------------------------------------------
@@ -288,7 +360,8 @@ def test_toxicity_models_tell_classes_apart():
         for w in t:
             vocabulary.setdefault(w, len(vocabulary) + 1)
     ids = lambda texts: [np.array([vocabulary.get(w, 0) for w in t]) for t in texts]
-    shared = np.ones(len(vocabulary) + 1) / (len(vocabulary) + 1)
+    size = len(vocabulary) + 1
+    shared = toxicity_kn.Shared.count(ids(toxic + plain + [make(False) for _ in range(700)]), size, toxicity_kn.candidates([ids(toxic[:50]), ids(plain[:50])], size))
     model = toxicity_kn.fit(ids(toxic[:50]), ids(plain[:50]), vocabulary, shared)
     d = np.array([model.difference(x) for x in ids(toxic[50:] + plain[50:])])
     assert common.auc(d, np.arange(60) < 30) > 0.9
@@ -297,18 +370,88 @@ def test_toxicity_models_tell_classes_apart():
     assert toxicity_kn.fit([], ids(plain), vocabulary, shared).probability(np.zeros(2)).tolist() == [0, 0]
 
 
-def test_class_models_are_distributions():
-    texts = [np.array([1, 2, 1, 3]), np.array([2, 2, 3])]
-    a, b = toxicity_kn.ClassCounts(texts, 5), toxicity_kn.ClassCounts([np.array([1, 4])], 5)
-    shared = np.array([0, 0.25, 0.25, 0.25, 0.25])
-    a.smooth(b, shared, 1.0)
-    assert abs(a.unigram[1:].sum() - 1) < 1e-9
-    assert ((a.gamma >= 0) & (a.gamma <= 1)).all()
+def plain_difference(classes, everything, evidence, threshold, text):
+    """The mean log-likelihood ratio of ``text`` (words, None: outside the vocabulary) by the module's definition, in dicts."""
+    pairs = lambda t: list(zip([""] + t[:-1], t))
+    words, both, lefts = Counter(w for t in everything for w in t), Counter(g for t in everything for g in pairs(t)), Counter(a for t in everything for a, _ in pairs(t))
+    total, models = sum(words.values()), []
+
+    def own_discount(counts):
+        n = Counter(counts)
+        return n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+
+    for texts in classes:
+        c = Counter(g for t in texts for g in pairs(t))
+        begin, contexts = Counter(), Counter(b for _, b in c)
+        for (x, _), k in c.items():
+            begin[x] += k
+        d1, d2, n = own_discount(contexts.values()), own_discount(c.values()), sum(contexts.values())
+        enough = lambda k, p, q, size: k * math.log(p / q) > max(evidence, threshold * size)
+        kept1 = {w: (k - d1) / n for w, k in contexts.items() if k > d1 and enough(k - d1, (k - d1) / n, words[w] / total, n)}
+        kept2 = {g: (k - d2) / begin[g[0]] for g, k in c.items() if k >= 3 and enough(k - d2, (k - d2) / begin[g[0]], both[g] / lefts[g[0]], sum(c.values()))}
+        w1 = (1 - sum(kept1.values())) / (1 - sum(words[w] / total for w in kept1))
+        w2 = {x: (1 - sum(p for g, p in kept2.items() if g[0] == x)) / (1 - sum(both[g] / lefts[x] for g in kept2 if g[0] == x)) for x in [*lefts]}
+        models.append((kept1, kept2, w1, w2))
+    any2 = {g for m in models for g in m[1]}
+
+    def log(m, a, b):
+        kept1, kept2, w1, w2 = m
+        if (a, b) in any2:
+            return math.log(kept2[a, b] if (a, b) in kept2 else w2[a] * both[a, b] / lefts[a])
+        return math.log(w2.get(a, 1.0) if a is not None else 1.0) + math.log(kept1[b] if b in kept1 else w1 * (words[b] / total if b else 1.0))
+
+    return sum(log(models[0], a, b) - log(models[1], a, b) for a, b in pairs(text)) / len(text)
+
+
+@pytest.mark.parametrize(("evidence", "threshold"), [(0.5, 0.0), (0.2, 0.02)])
+def test_kneser_ney_equals_its_definition(evidence, threshold, monkeypatch):
+    monkeypatch.setattr(toxicity_kn, "EVIDENCE", evidence)
+    rng = random.Random(11)
+    draw = lambda weights, n: rng.choices("abcdefgh", weights, k=n)
+    toxic, plain = [draw((9, 6, 5, 3, 2, 4, 1, 0), 25) for _ in range(6)], [draw((8, 6, 5, 3, 0.2, 0.1, 0, 2), 25) for _ in range(30)]
+    other = [draw((8, 6, 5, 3, 0.3, 0.3, 0.3, 2), 30) + ["x"] for _ in range(9)]
+    vocabulary = {w.encode(): k for k, w in enumerate("abcdefgh", 1)}
+    ids = lambda texts: [np.array([vocabulary.get(w.encode() if w else b"", 0) for w in t]) for t in texts]
+    classes = [ids(toxic), ids(plain)]
+    shared = toxicity_kn.Shared.count(ids(toxic + plain + other), 9, toxicity_kn.candidates(classes, 9))
+    model = toxicity_kn._model([toxicity_kn.ClassModel(t, 9) for t in classes], vocabulary, shared, threshold)
+    assert len(model.codes) and (model.word != model.word[0]).any()
+    everything = [[w if w != "x" else None for w in t] for t in toxic + plain + other]
+    for text in (*toxic[:3], *plain[:3], ["a", None, "e", "f", "f"], [None], ["h"]):
+        assert model.difference(ids([text])[0]) == pytest.approx(plain_difference([toxic, plain], everything, evidence, threshold, text), abs=1e-9)
+
+
+def test_discounts_are_the_class_own():
+    assert toxicity_kn.discount(np.array([1, 1, 1, 2, 5])) == pytest.approx(3 / 5)
+    assert toxicity_kn.discount(np.array([4, 1])) == 0.5 == toxicity_kn.discount(np.zeros(0))
 
 
 def test_auc_counts_ties_half():
     assert common.auc(np.array([1.0, 1.0, 0.0, 2.0]), np.array([True, False, False, True])) == pytest.approx(0.875)
 
 
-def test_folds_use_crc32():
-    assert zlib.crc32(b"12") % 3 in (0, 1, 2)
+def test_network_equals_a_naive_convolution():
+    rng = np.random.default_rng(4)
+    q = quality_cnn
+    init = lambda *s: rng.standard_normal(s).astype(np.float32)
+    model = q.QualityModel(init(256, q.DIM), init(q.WIDTH * q.DIM, q.FILTERS) / 7, init(q.FILTERS), init(q.FILTERS + 1, q.HIDDEN), init(q.HIDDEN + 1))
+    texts = [None, b"", b"a", bytes(rng.integers(1, 256, 511, dtype=np.uint8)), bytes(rng.integers(1, 256, 5000, dtype=np.uint8)), ("é" * 700).encode()]
+    want = []
+    for text in texts:
+        text = text or b""
+        step = q.CHUNK - q.WIDTH + q.STRIDE
+        begins = range(0, max(1, len(text) - (q.CHUNK - step)), step)
+        maxima, seen = [], set()
+        for begin in begins:
+            chunk = text[begin : begin + q.CHUNK].ljust(q.CHUNK, b"\0")
+            offsets = range(0, q.CHUNK - q.WIDTH + 1, q.STRIDE)
+            seen |= {begin + at for at in offsets}
+            maxima.append([max(0.0, max(sum(float(model.embed[chunk[at + j], d]) * float(model.filters[j * q.DIM + d, f]) for j in range(q.WIDTH) for d in range(q.DIM)) for at in offsets) + float(model.bias[f])) for f in (0, 7)])
+        assert seen >= set(range(0, max(1, len(text) - q.WIDTH + 1), q.STRIDE))  # windows begin at every STRIDE-th byte, across chunks
+        want.append(np.mean(maxima, axis=0))
+    chunks, counts = q.chunked([t or b"" for t in texts])
+    pooled = np.add.reduceat(model.pooled(chunks), np.cumsum(counts) - counts, axis=0) / counts[:, None]
+    assert np.allclose(pooled[:, [0, 7]], want, atol=1e-3)
+    whole = np.maximum(np.concatenate((pooled, np.ones((len(texts), 1))), axis=1) @ model.hidden, 0) @ model.out[:-1] + model.out[-1]
+    assert np.allclose(model.scores(texts), 1 / (1 + np.exp(-whole)), atol=1e-4)
+    assert model.scores(texts[:2]).tolist() == [model.scores([b""])[0]] * 2

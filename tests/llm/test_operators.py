@@ -59,6 +59,34 @@ def test_near_duplicates_of_odd_rows(odd, no_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
 
 
+def test_documents_with_several_texts_equal_the_sql(spark, monkeypatch):
+    import duckdb
+
+    text = lambda x, n=40, changed=(): " ".join(f"{x}{k}" if k not in changed else f"other{x}{k}" for k in range(n))
+    a, b, c, d = map(text, "abcd")
+    near = lambda x: text(x, changed=(39,))
+    rows = [(1, a), (1, b), (3, near("b")), (4, near("a")), (0, c), (5, c), (5, d), (7, near("d")), (2, d), (8, a), (9, text("e")), (9, text("e")), (10, ""), (10, text("f")), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = rows_of(con.sql(queries.ORACLE_SQL["op7_near_dup"]).df())
+    for hot in (near_dup.HOT, 1):  # the second: nearly every key and set is salted
+        monkeypatch.setattr(near_dup, "HOT", hot)
+        monkeypatch.setattr(near_dup, "HOT_SHARE", 1e9)
+        got = near_dup.near_duplicates(docs, words=2)
+        assert rows_of(got.toPandas()) == want
+    component = {r.doc_id: r.component_id for r in got.collect()}
+    assert component[1] == component[3] == component[4] == component[8] == 1 and component[0] == component[5] == component[7] == component[2] == 0
+
+
+def test_salted_keys_give_the_same_groups(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = rows_of(near_dup.near_duplicates(docs, words=2).toPandas())
+    monkeypatch.setattr(near_dup, "HOT", 4)
+    monkeypatch.setattr(near_dup, "HOT_SHARE", 1e9)
+    assert rows_of(near_dup.near_duplicates(docs, words=2).toPandas()) == want
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     words = [f"w{k}" for k in range(400)]
@@ -114,6 +142,15 @@ def test_packing_holds_every_id_once(spark, odd, no_docs):
     assert packing.pack(packing.cut(no_docs, *files), 0).count() == 0
 
 
+def test_documents_are_dealt_alike_in_any_order(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k % 40}") for k in range(120)], "doc_id long, text string").coalesce(1)
+    files = queries.tokenizer_files()
+    deals = [sorted((r.doc_id, r.deal) for r in packing.cut(docs.orderBy(order), *files).collect()) for order in (F.col("doc_id"), F.rand(3))]
+    assert [len(set(d)) for d in deals] == [120, 120]
+    one = [sorted((r.doc_id, r.deal) for r in packing.cut(docs.sortWithinPartitions(order), *files).collect()) for order in (F.col("doc_id"), F.desc("doc_id"), F.rand(3))]
+    assert one[0] == one[1] == one[2]
+
+
 def test_packing_query(spark, small):
     got = queries.op8_packing(spark, small).toPandas()
     docs = spark.read.parquet(f"{small}/documents.parquet").toPandas()
@@ -142,9 +179,41 @@ def test_overlaps_of_odd_rows(spark, odd, no_docs):
     assert decontam_fm.find_overlaps(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_too_large_a_benchmark_is_refused(spark):
-    with pytest.raises(ValueError):
-        decontam_fm.benchmark_windows(spark.createDataFrame([("a", "x" * 100)], "item_id string, text string"), 13, limit=50)
+def test_a_large_benchmark_is_searched_in_blocks(spark, odd):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    items = [(f"i{k}", text(int(rng.integers(1, 9)))) for k in range(30)] + [("long", text(900)), ("i3", text(7)), (None, "w1 w2 w3"), ("none", None), ("blank", "..")]
+    docs = [(k % 50, text(int(rng.integers(0, 80)))) for k in range(60)] + [(99, None), (None, items[2][1])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    table = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, _row int")
+    got = {}
+    for limit in (decontam_fm.BLOCK_BYTES, 600):
+        found = decontam_fm.find_overlaps(table, bench, window=3, limit=limit).collect()
+        got[limit] = sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in found)
+        kept = decontam_fm.without_contaminated(table, bench, window=3, percent=30, limit=limit)
+        assert kept.columns == table.columns
+        got[limit, "kept"] = sorted(map(str, kept.collect()))
+    assert len(list(decontam_fm.benchmark_blocks(bench, 3, 600))) > 5
+    assert got[600] == got[decontam_fm.BLOCK_BYTES] and got[600, "kept"] == got[decontam_fm.BLOCK_BYTES, "kept"]
+    assert 0 < len(got[600, "kept"]) < len(docs)
+
+
+def test_shards_are_closed_and_judged_alike(spark, odd, monkeypatch):
+    bench = spark.createDataFrame([("i1", "b c d"), ("i2", "tail word tail")], "item_id string, text string")
+    shard = decontam_fm.Shard(decontam_fm.Windows([("i1", [b"b", b"c", b"d"]), ("i2", [b"tail", b"word", b"tail"])], 3))
+    texts = [t.encode() if t is not None else None for _, t in ODD] * 3
+    for t in texts:
+        shard.add(t)
+    want = shard.close()
+    monkeypatch.setattr(decontam_fm, "SHARD_SYMBOLS", 8)  # a shard ends after every few words, between documents
+    got = []
+    for t in texts:
+        shard.add(t)
+        if shard.full:
+            got += shard.close()
+    assert got + shard.close() == want
+    assert decontam_fm.find_overlaps(odd, bench, window=3).count() == len(ODD)
 
 
 # --- URLs -----------------------------------------------------------------------------------------------------
@@ -199,7 +268,7 @@ def test_search_with_odd_vectors(spark):
     rows += [(200 + k, [1.0] * 8, "x") for k in range(60)]  # copies, more than k of them
     rows += [(300, None, "x"), (301, [0.0] * 8, "x"), (302, [float("nan")] + [1.0] * 7, "x"), (303, [None] + [1.0] * 7, "x"), (304, [float("inf")] * 8, "x"), (305, [1.0] * 3, "x"), (None, [1.0] * 8, "x"), (7, rows[7][1], "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = ann_forest.search(table, F.col("vec_id") % 20 == 0, k=5, visit=1.0, cell_rows=100, query_block=4).toPandas()
+    got = ann_forest.search(table, F.col("vec_id") % 20 == 0, k=5, visit=1.0, cell_rows=100).toPandas()
     good = {k: np.array(v) for k, v, _ in rows if k is not None and k < 300}
     ids = np.array(sorted(good))
     x = np.stack([good[i] for i in ids])
@@ -264,13 +333,15 @@ def test_classifiers_on_odd_rows(spark, odd, no_docs):
 
 
 def test_quality_query(spark, small):
+    small = small.replace("sf0.001", "sf0.1")
     got = queries.op4_quality(spark, small).toPandas()
     y = spark.read.parquet(f"{small}/labels.parquet").toPandas()
     m = got.merge(y, on="doc_id")
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"]]).all()
     assert (got["predicted"] == (got["score"] >= 0.5)).all()
     held = m[m["held_out"]]
-    assert auc(held["score"].to_numpy(), held["quality"].to_numpy() == 1) > 0.85
+    assert auc(held["score"].to_numpy(), held["quality"].to_numpy() == 1) > 0.98
+    assert held[held["quality"] == 1]["predicted"].mean() > 0.98
 
 
 def test_language_query(spark, small):
@@ -285,7 +356,7 @@ def test_toxicity_query(spark, small):
     y = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.1')}/labels.parquet").toPandas()
     m = got.merge(y, on="doc_id")
     held = m[m["held_out"]]
-    assert auc(held["score"].to_numpy(), held["toxic"].to_numpy() == 1) > 0.85
+    assert auc(held["score"].to_numpy(), held["toxic"].to_numpy() == 1) > 0.9
     assert held[held["toxic"] == 0]["predicted"].mean() < 0.02
 
 
@@ -324,6 +395,34 @@ def test_rollup_commits_once(spark):
     assert {tuple(r) for r in store.totals().collect()} == want
 
 
+def test_commits_during_compaction_count_once(spark):
+    side = token_rollup._SIDE
+    batch = lambda n: spark.createDataFrame([(None, ("s", "en", "v1", n))], f"before {side}, after {side}")
+    store = token_rollup.RollupStore(spark, scratch(spark, "rollup"))
+    store.commit("a", batch(5))
+    other = token_rollup.RollupStore(spark, store.path)
+    summed = store._sum
+
+    def late(parts):  # another writer commits while the fold is written
+        other.commit("b", batch(7))
+        return summed(parts)
+
+    store._sum = late
+    store.compact()
+    assert [tuple(r) for r in other.totals().collect()] == [("s", "en", "v1", 2, 12)]
+    other.compact()
+    other.commit("c", batch(1))
+    assert [tuple(r) for r in other.totals().collect()] == [("s", "en", "v1", 3, 13)]
+    assert not other.commit("a", batch(5)) and not other.commit("b", batch(7))
+
+
+def test_white_space_tokens(spark):
+    texts = [None, "", " ", "a", " a  b\tc\n", "\x0b\x0cé\r\u00a0x y", "x" * 100_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in rows.select(token_rollup.whitespace_tokens(F.col("t"))).collect()]
+    assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
 def test_subword_counts(spark, odd):
     docs = odd.select("doc_id", "text")
     got = token_rollup.subword_tokens(docs, ["text"], *queries.tokenizer_files()).collect()
@@ -335,8 +434,10 @@ def test_rollup_query_with_subwords(spark, small):
     got = queries.op1_token_counts(spark, small).toPandas()
     d = spark.read.parquet(f"{small}/documents.parquet").toPandas().merge(spark.read.parquet(f"{small}/labels.parquet").toPandas(), on="doc_id", how="left")
     d = d[d["toxic"] != 1]
-    bpe = packing.tokenizer(*queries.tokenizer_files())
-    d["n"] = [len(bpe.ids(t.replace("|", " ") if q == 0 else t)) for t, q in zip(d["text"], d["quality"])]
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(queries.tokenizer_files()[0])
+    d["n"] = [len(exact.encode(t.replace("|", " ") if q == 0 else t, add_special_tokens=False).ids) for t, q in zip(d["text"], d["quality"])]
     want = d.groupby(["source", "lang"])["n"].agg(["count", "sum"])
     own = got[got["tokenizer"] == "byte_bpe_50k@1"].set_index(["source", "lang"])
     assert own["tokens"].to_dict() == want["sum"].to_dict() and own["docs"].to_dict() == want["count"].to_dict()
