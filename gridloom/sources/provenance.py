@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SOFTWARE = "gridloom"
-PLAIN = r"^[A-Za-z0-9_@%+=:,./-]+$"
+#: What can't stand in a header: braces end a field, line ends a line.
+_UNFIT, _FIT = "{}\n\r", "()  "
 
 
 @dataclass(frozen=True)
@@ -19,17 +20,17 @@ class Provenance:
 
 
 def quoted(arg: str) -> str:
-    """An argument as a shell would need it: in single quotes unless all its characters are plain."""
-    return arg if re.match(PLAIN, arg) else "'" + arg.replace("'", "'\\''") + "'"
+    """An argument for a header's command line: fit for it, and in single quotes if it is empty or holds white space or quotes."""
+    arg = arg.translate(str.maketrans(_UNFIT, _FIT))
+    return arg if re.fullmatch(r"[^\s'\"]+", arg) else "'" + arg.replace("'", "'\\''") + "'"
 
 
 def of_arguments(args: list[str], software: str = SOFTWARE) -> Provenance:
-    """Braces would end a header's field and newlines a line: they become parentheses and spaces."""
-    line = " ".join(quoted(a) for a in args)
-    return Provenance(software, line.translate(str.maketrans("{}\n\r", "()  ")))
+    return Provenance(software, " ".join(map(quoted, args)))
 
 
 def quoted_col(arg: Column) -> Column:
     """:func:`quoted` of a column."""
-    inner = F.replace(arg, F.lit("'"), F.lit("'\\''"))
-    return F.when(arg.rlike(PLAIN), arg).otherwise(F.concat(F.lit("'"), inner, F.lit("'")))
+    fit = F.translate(arg, _UNFIT, _FIT)
+    inner = F.replace(fit, F.lit("'"), F.lit("'\\''"))
+    return F.when(fit.rlike("(?U)^[^\\s'\"]+$"), fit).otherwise(F.concat(F.lit("'"), inner, F.lit("'")))

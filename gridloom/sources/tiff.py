@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from pathlib import Path
@@ -64,17 +65,23 @@ class Tags:
 
 
 def georeference(t: Tags) -> tuple[Affine | None, int | None]:
-    """A matrix wins over scale and tie point; the projected system wins over the geographic one."""
+    """A matrix wins over scale and tie point; the projected system wins over the geographic one.
+
+    A scale of zero, and any term that isn't finite, is no transform.  The key directory ends at the count it states.
+    """
     m, scale, tie = t.get("matrix"), t.get("scale"), t.get("tiepoint")
     place = None
     if len(m) >= 8:
         place = (m[3], m[0], m[1], m[7], m[4], m[5])
-    elif len(scale) >= 2 and len(tie) >= 6:
+    elif len(scale) >= 2 and len(tie) >= 6 and scale[0] and scale[1]:
         place = (tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1])
+    if place is not None and not all(map(math.isfinite, place)):
+        place = None
     keys = t.get("geokeys")
-    found = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
-    epsg = next((found[k] for k in (3072, 2048) if found.get(k, 0) not in (0, 32767)), None)
-    return place, epsg
+    count = keys[3] if len(keys) > 3 else 0
+    own = [keys[k : k + 4] for k in range(4, 4 + 4 * count, 4)]
+    named = {k[0]: k[3] for k in own if len(k) == 4 and k[1] == 0 and k[3] not in (0, 32767)}
+    return place, named.get(3072, named.get(2048))
 
 
 def meta_of(t: Tags) -> tuple[Meta, str]:

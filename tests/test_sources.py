@@ -266,23 +266,47 @@ def test_series(tmp_path):
 
 def test_provenance(spark):
     assert provenance.of_arguments(["a", "b c", "it's", "{x}\n"]).command == "a 'b c' 'it'\\''s' '(x) '"
-    args = ["plain", "b c", "it's", "", "a=b,c:1"]
+    assert provenance.of_arguments(["*.tif", "a;b", ""]).command == "*.tif a;b ''"
+    args = ["plain", "b c", "it's", "", "a=b,c:1", "*.tif", "$x|y", 'say "x"', "{a}", "a\nb", "a\tb", "é\u00a0x"]
     t = spark.createDataFrame([(a,) for a in args], "a string")
     assert [r[0] for r in t.select(provenance.quoted_col(t.a)).collect()] == [provenance.quoted(a) for a in args]
 
 
+def test_one_grid(spark):
+    a = (0.0, 30.0, 0.0, 0.0, 0.0, -30.0)
+    geo.one_grid(spark, [("a", a, None), ("b", (0.02, *a[1:]), 4326), ("c", None, 32615), ("d", a, None)])
+    cases = [((1.0, *a[1:]), None, "origin"), ((0.0, 30.001, *a[2:]), None, "pixel width"), ((0.0, 30.0, 0.1, *a[3:]), None, "rotation"), ((*a[:5], -30.1), None, "pixel height"), (a, 32615, "coordinate system")]
+    for transform, epsg, what in cases:
+        with pytest.raises(ValueError, match=what):
+            geo.one_grid(spark, [("a", a, 4326), ("b", transform, epsg)])
+
+
+MAP_INFO = [("UTM, 1, 1, 0, 0, 30, 30, 10, N, WGS-84", 32610), ("Geographic Lat/Lon, 1, 1, 0, 0, 1, 1, WGS 1984", 4326), ("utm, 1, 1, 0, 0, 30, 30, 7, southern, wgs_1984 x", 32707), ("UTM, 1, 1, 0, 0, 30, 30, 61, North, WGS-84", None), ("UTM, 1, 1, 0, 0, 30, 30, 10, North, NAD-83", None), ("UTM, 1, 1, 0, 0, 30, 30, 10", None), ("UTM, 1, 1, 0, 0, 30, 30, ten, North, WGS-84", None), ("My geographic, 1, 1, 0, 0, 1, 1, WGS84", 4326), ("Geographic, 1, 1, 0, 0, 1, 1", None), ("Albers, 1, 1, 0, 0, 1, 1, WGS-84", None)]
+
+
+def test_epsg_of_map_info(spark):
+    t = spark.createDataFrame([(m,) for m, _ in MAP_INFO] + [(None,), ("",)], "m string")
+    assert [r[0] for r in t.select(geo.epsg_col("m")).collect()] == [e for _, e in MAP_INFO] + [None, None]
+    assert [geo.epsg_from_fields([x.strip() for x in m.split(",")]) for m, _ in MAP_INFO] == [e for _, e in MAP_INFO]
+
+
+def test_tiff_places():
+    tags = lambda **t: type("T", (), {"get": lambda self, name, default=(): t.get(name, default)})()
+    tie = (0.0, 0.0, 0.0, 500.0, 900.0, 0.0)
+    assert tiff.georeference(tags(scale=(30.0, 20.0), tiepoint=tie))[0] == (500.0, 30.0, 0.0, 900.0, 0.0, -20.0)
+    assert tiff.georeference(tags(scale=(0.0, 20.0), tiepoint=tie))[0] is None
+    assert tiff.georeference(tags(scale=(30.0, float("nan")), tiepoint=tie))[0] is None
+    assert tiff.georeference(tags(matrix=(float("inf"),) * 16))[0] is None
+    keys = (1, 1, 0, 1, 2048, 0, 1, 4326, 3072, 0, 1, 32615)  # a second key beyond the stated count
+    assert tiff.georeference(tags(geokeys=keys))[1] == 4326
+    assert tiff.georeference(tags(geokeys=(*keys[:3], 2, *keys[4:])))[1] == 32615
+
+
 def test_geo():
     assert geo.from_map_info("{UTM, 2, 3, 500, 900, 30, 20, 15, South, WGS-84}") == ((470.0, 30.0, 0.0, 940.0, 0.0, -20.0), 32715)
     assert geo.from_map_info("UTM, 1, 1, 0, 0, 0, 30") is None and geo.from_map_info("x, 1") is None
     assert geo.from_map_info("Geographic Lat/Lon, 1, 1, 0, 0, 1, 1, WGS-84")[1] == 4326
     assert '"central_meridian",-93' in geo.wkt(32615) and geo.wkt(4326).startswith("GEOGCS") and geo.wkt(1) is None
-    a = (0.0, 30.0, 0.0, 0.0, 0.0, -30.0)
-    assert geo.same_grid(a, (0.02, *a[1:])) and not geo.same_grid(a, None)
-    for bad in ((1.0, *a[1:]), (0.0, 30.001, *a[2:])):
-        with pytest.raises(ValueError):
-            geo.same_grid(a, bad)
-    with pytest.raises(ValueError):
-        geo.same_grid(a, a, 4326, 32615)
 
 
 def edges_of(m):
