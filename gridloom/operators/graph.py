@@ -50,30 +50,45 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots)
 
 
-def exclusive_sum(df: DataFrame, order: str, value: str, name: str, bucket: int = BUCKET) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over all rows with a smaller ``order`` (a distinct, non-negative id).
+def exclusive_sum(df: DataFrame, order: str, value: str, name: str, bucket: int = BUCKET, within: str = "scene") -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of its scene (the column ``within``) that have a smaller ``order``.
 
-    Two levels: sums of id ranges are added up over the ranges, which are few, and rows within their range only.
+    ``order`` is a non-negative id, distinct in the scene.  Two levels: sums of id ranges are added up over the ranges,
+    which are few, and rows within their range only.
     """
     rows = df.withColumn("_range", F.expr(f"{order} div {bucket}"))
-    parts = rows.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = parts.selectExpr("_range", "coalesce(sum(_sum) over (order by _range rows between unbounded preceding and 1 preceding), 0) _before")
-    inside = f"coalesce(sum({value}) over (partition by _range order by {order} rows between unbounded preceding and 1 preceding), 0)"
-    return rows.join(before, "_range").withColumn("_inside", F.expr(inside)).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_range", "_before", "_inside")
+    parts = rows.groupBy(within, "_range").agg(F.sum(value).alias("_sum"))
+    before = parts.selectExpr(within, "_range", f"coalesce(sum(_sum) over (partition by {within} order by _range rows between unbounded preceding and 1 preceding), 0) _before")
+    inside = f"coalesce(sum({value}) over (partition by {within}, _range order by {order} rows between unbounded preceding and 1 preceding), 0)"
+    return rows.join(before, [within, "_range"]).withColumn("_inside", F.expr(inside)).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_range", "_before", "_inside")
 
 
-def dense_ids(ids: DataFrame, name: str = "id", bucket: int = BUCKET) -> DataFrame:
-    """``(id, new_id)``: distinct ids numbered 1, 2, ... in their order."""
-    one = ids.select(F.col(name).alias("id")).distinct().withColumn("_one", F.lit(1).cast("long"))
-    return exclusive_sum(one, "id", "_one", "_before_", bucket).select("id", (F.col("_before_") + 1).alias("new_id"))
+def dense_ids(ids: DataFrame, name: str = "id", bucket: int = BUCKET, within: str = "scene") -> DataFrame:
+    """``scene, id, new_id``: each scene's distinct ids numbered 1, 2, ... in their order."""
+    one = ids.select(within, F.col(name).alias("id")).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return exclusive_sum(one, "id", "_one", "_before_", bucket, within).select(within, "id", (F.col("_before_") + 1).alias("new_id"))
 
 
-def greedy(src: np.ndarray, dst: np.ndarray, prio: np.ndarray) -> np.ndarray:
-    """Indices of the edges of the first matching in order of ``prio``."""
-    order = np.argsort(prio, kind="stable")
-    nodes, code = np.unique(np.concatenate((src, dst)), return_inverse=True)
+def roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``scene, id, root`` of a forest of ``scene, id, parent`` edges (one parent an id): pointer doubling, written each round."""
+    at = written(edges.select("scene", "id", F.col("parent").alias("root")), "roots")
+    for _ in range(max_rounds):
+        up = at.select("scene", F.col("id").alias("root"), F.col("root").alias("above"))
+        both = at.join(up, ["scene", "root"], "left")
+        if both.filter("above is not null").isEmpty():
+            return at
+        at = written(both.select("scene", "id", F.coalesce("above", "root").alias("root")), "roots")
+    raise RuntimeError(f"the forest is deeper than 2**{max_rounds}")
+
+
+def greedy(src: np.ndarray, dst: np.ndarray, prio: np.ndarray, scene: np.ndarray | None = None) -> np.ndarray:
+    """Indices of the edges of the first matching in order of ``prio``, in each scene (a code) for itself."""
+    scene = np.zeros(len(src), np.int64) if scene is None else scene
+    order = np.lexsort((prio, scene))
+    _, code = np.unique(np.stack((np.tile(scene, 2), np.concatenate((src, dst)))), axis=1, return_inverse=True)
+    code = code.ravel()
     a, b = code[: len(src)], code[len(src) :]
-    taken, out = bytearray(len(nodes)), []
+    taken, out = bytearray(int(code.max()) + 1 if len(code) else 0), []
     for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
         if not taken[x] and not taken[y]:
             taken[x] = taken[y] = 1
@@ -82,29 +97,30 @@ def greedy(src: np.ndarray, dst: np.ndarray, prio: np.ndarray) -> np.ndarray:
 
 
 def first_matching(edges: DataFrame, limit: int = DRIVER_EDGES) -> DataFrame:
-    """The lexicographically first matching of ``edges(src, dst, prio)``, prio being distinct.
+    """The lexicographically first matching of ``edges(scene, src, dst, prio)`` in each scene, prio being distinct there.
 
     Up to ``limit`` edges are matched on the driver.  Above that, rounds take every edge that has the least prio at
     both its ends and remove what those ends touch; the same matching results (Blelloch, Fineman and Shun, 2012).
     """
     spark = edges.sparkSession
-    edges = written(edges.select("src", "dst", "prio"), "eligible")
+    columns = ["scene", "src", "dst", "prio"]
+    edges = written(edges.select(*columns), "eligible")
     taken = []
+    ends_of = lambda e, *more: e.select("scene", F.col("src").alias("node"), *more).unionAll(e.select("scene", F.col("dst").alias("node"), *more))
     while edges.count() > limit:
-        ends = edges.select(F.col("src").alias("node"), "prio").unionAll(edges.select(F.col("dst").alias("node"), "prio"))
-        least = ends.groupBy("node").agg(F.min("prio").alias("least"))
-        with_least = edges.join(least.select(F.col("node").alias("src"), F.col("least").alias("l1")), "src").join(least.select(F.col("node").alias("dst"), F.col("least").alias("l2")), "dst")
-        won = written(with_least.filter("prio = l1 and prio = l2").select("src", "dst", "prio"), "won")
+        least = ends_of(edges, "prio").groupBy("scene", "node").agg(F.min("prio").alias("least"))
+        side = lambda c, name: least.select("scene", F.col("node").alias(c), F.col("least").alias(name))  # noqa: E731, B023
+        with_least = edges.join(side("src", "l1"), ["scene", "src"]).join(side("dst", "l2"), ["scene", "dst"])
+        won = written(with_least.filter("prio = l1 and prio = l2").select(*columns), "won")
         taken.append(won)
-        gone = won.select(F.col("src").alias("node")).unionAll(won.select(F.col("dst").alias("node"))).distinct()
-        rest = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        edges = written(rest.select("src", "dst", "prio"), "eligible")
-    table = edges.toArrow()
-    cols = [table.column(c).to_numpy() for c in ("src", "dst", "prio")]
-    if len(cols[0]):
-        keep = greedy(*cols)
-        taken.append(spark.createDataFrame(pd.DataFrame({n: c[keep] for n, c in zip(("src", "dst", "prio"), cols)}), "src long, dst long, prio long"))
-    out = spark.createDataFrame([], "src long, dst long, prio long")
+        gone = ends_of(won).distinct()
+        rest = edges.join(gone.withColumnRenamed("node", "src"), ["scene", "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), ["scene", "dst"], "left_anti")
+        edges = written(rest.select(*columns), "eligible")
+    table = edges.toPandas()
+    if len(table):
+        keep = greedy(*(table[c].to_numpy() for c in ("src", "dst", "prio")), pd.factorize(table["scene"])[0])
+        taken.append(spark.createDataFrame(table.iloc[keep], edges.schema))
+    out = spark.createDataFrame([], edges.schema)
     for t in taken:
         out = out.unionByName(t)
     return out

@@ -6,14 +6,17 @@ Region 0 is nodata.  Everything here is a plan of joins, windows and aggregates
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FLOAT_EPSILON, distance2_col, float_mean, ordered_sum32, pairwise_sum32
 from .graph import dense_ids, exclusive_sum
 from .pixels import EIGHT, FOUR, neighbours
+from .streams import by_group
 
 BINS = 1000
 
@@ -47,17 +50,18 @@ def float_means(labels: DataFrame, layer: DataFrame, bands: int) -> DataFrame:
     """``scene, region_id, npix, zeros, ctr`` of single-precision layers.
 
     The sums depend on their order, which is by pixel (pairwise if there is one band), so a region's samples are
-    added by one task; regions spread over tasks.
+    added by one task, which passes many regions by as a stream; regions spread over tasks.
     """
     rows = labels.filter("region_id <> 0").join(layer.select("scene", "px", "bands"), ["scene", "px"]).select("scene", "region_id", "px", "bands")
 
-    def mean(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(part.sort_values("px")["bands"].to_numpy()).astype(np.float32)
+    def mean(part: pa.Table) -> dict:
+        x = np.asarray(part.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(part.num_rows, bands)
         add = pairwise_sum32 if bands == 1 else ordered_sum32
         ctr = [float_mean(add(x[:, b]), len(x)) for b in range(bands)]
-        return pd.DataFrame({"scene": [part["scene"].iloc[0]], "region_id": [part["region_id"].iloc[0]], "npix": [len(x)], "zeros": [int((x == 0).all(axis=1).sum())], "ctr": [ctr]})
+        return {"scene": part.column("scene")[0].as_py(), "region_id": part.column("region_id")[0].as_py(), "npix": len(x), "zeros": int((x == 0).all(axis=1).sum()), "ctr": ctr}
 
-    return rows.groupBy("scene", "region_id").applyInPandas(mean, "scene string, region_id long, npix long, zeros long, ctr array<double>")
+    arrow = pa.schema([("scene", pa.string()), ("region_id", pa.int64()), ("npix", pa.int64()), ("zeros", pa.int64()), ("ctr", pa.list_(pa.float64()))])
+    return by_group(rows, ["scene", "region_id"], ["px"], mean, "scene string, region_id long, npix long, zeros long, ctr array<double>", arrow)
 
 
 def mostly_nodata(means: DataFrame) -> DataFrame:
@@ -102,11 +106,12 @@ def draws(edges: DataFrame) -> DataFrame:
     return exclusive_sum(per, "region_id", "n_draws", "draw_offset")
 
 
-def nearest_with_flips(edges: DataFrame, flips: DataFrame) -> DataFrame:
+def nearest_with_flips(edges: DataFrame, flips: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``scene, region_id, nnbr_id, d2, n_draws``: nearest neighbours as the normal pass chooses them.
 
-    ``flips(position, bit)`` is the stream from this pass's first flip on.  The winner is the last candidate at the
-    least distance whose flip came up 1, else the first at it.
+    ``flips(position, bit)`` is the stream from this pass's first flip on, of each scene if it has the column ``scene``;
+    or it adds ``bit`` to rows with ``position``.  The winner is the last candidate at the least distance whose flip came
+    up 1, else the first at it.
     """
     run = edges.selectExpr("scene", "src", "dst", "d2", "first_key", "min(d2) over (partition by scene, src order by first_key rows between unbounded preceding and 1 preceding) low")
     run = run.withColumn("drew", F.coalesce(F.col("d2") == F.col("low"), F.lit(False)).cast("long"))
@@ -114,7 +119,7 @@ def nearest_with_flips(edges: DataFrame, flips: DataFrame) -> DataFrame:
     counts = run.groupBy("scene", F.col("src").alias("region_id")).agg(F.sum("drew").alias("n_draws"))
     offsets = exclusive_sum(counts, "region_id", "n_draws", "draw_offset").select("scene", F.col("region_id").alias("src"), "n_draws", "draw_offset")
     at = run.filter("d2 = least").join(offsets, ["scene", "src"]).withColumn("position", F.when(F.col("drew") == 1, F.col("draw_offset") + F.col("nth") - 1))
-    tied = at.join(flips, "position", "left")
+    tied = flips(at) if callable(flips) else at.join(flips, [c for c in ("scene", "position") if c in flips.columns], "left")
     heads = F.when(F.coalesce(F.col("bit"), F.lit(0)) == 1, F.struct("first_key", "dst"))
     best = tied.groupBy("scene", F.col("src").alias("region_id")).agg(F.max(heads).alias("last"), F.min(F.struct("first_key", "dst")).alias("first"), F.first("d2").alias("d2"), F.first("n_draws").alias("n_draws"))
     return best.select("scene", "region_id", F.coalesce("last.dst", "first.dst").alias("nnbr_id"), "d2", "n_draws")
@@ -127,20 +132,20 @@ def mutual(nn: DataFrame, epsilon: float = FLOAT_EPSILON) -> DataFrame:
 
 
 def histogram(nn: DataFrame, tolerance: float) -> DataFrame:
-    """``bin, n`` of single-precision nearest distances, in 1000 bins of tolerance**2 / 1000; bin 1000 is the rest."""
+    """``scene, bin, n`` of single-precision nearest distances, in 1000 bins of tolerance**2 / 1000; bin 1000 is the rest."""
     width = f"cast(cast({tolerance!r} as float) * cast({tolerance!r} as float) / cast({BINS} as float) as float)"
     x = f"cast(d2 / {width} as float)"
-    return nn.withColumn("bin", F.expr(f"case when d2 is null or {x} >= {BINS} then {BINS} else cast({x} as int) end")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return nn.withColumn("bin", F.expr(f"case when d2 is null or {x} >= {BINS} then {BINS} else cast({x} as int) end")).groupBy("scene", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pass_tolerance(bins: DataFrame, tolerance: float, fraction: float) -> DataFrame:
-    """One row, ``tp2, use_hist``: the squared tolerance below which a fraction of regions may merge this pass."""
+    """``scene, tp2, use_hist``: the squared tolerance below which a fraction of a scene's regions may merge this pass."""
     t2 = f"cast(cast({tolerance!r} as float) * cast({tolerance!r} as float) as float)"
     width = f"cast({t2} / cast({BINS} as float) as float)"
-    cum = bins.selectExpr("bin", "sum(n) over (order by bin) c", "sum(n) over () total")
+    cum = bins.selectExpr("scene", "bin", "sum(n) over (partition by scene order by bin) c", "sum(n) over (partition by scene) total")
     most = f"cast(floor(cast(cast(total as float) * cast({fraction!r} as float) as float)) as long)"
-    used = cum.filter(f"c > {most}").agg((F.min("bin") + 1).alias("used"))
-    return used.select(F.expr(f"case when coalesce(used, {BINS} + 1) > {BINS} then {t2} else cast({width} * cast(used as float) as float) end").alias("tp2"), F.expr(f"coalesce(used, {BINS} + 1) <= {BINS}").alias("use_hist"))
+    used = cum.groupBy("scene").agg((F.min(F.expr(f"case when c > {most} then bin end")) + 1).alias("used"))
+    return used.select("scene", F.expr(f"case when coalesce(used, {BINS} + 1) > {BINS} then {t2} else cast({width} * cast(used as float) as float) end").alias("tp2"), F.expr(f"coalesce(used, {BINS} + 1) <= {BINS}").alias("use_hist"))
 
 
 def is_special(band: int, low: float, high: float, ctr: str = "ctr") -> Column:
@@ -182,9 +187,9 @@ def merged_centre_col(n1: str, c1: str, n2: str, c2: str, kind: str = "float") -
 
 
 def reranked(labels: DataFrame) -> DataFrame:
-    """``labels`` with ids renumbered 1, 2, ... in their order; 0 stays."""
+    """``labels`` with each scene's ids renumbered 1, 2, ... in their order; 0 stays."""
     ids = dense_ids(labels.filter("region_id <> 0"), "region_id").withColumnRenamed("id", "region_id")
-    return labels.join(ids, "region_id", "left").withColumn("region_id", F.coalesce("new_id", F.lit(0).cast("long"))).drop("new_id")
+    return labels.join(ids, ["scene", "region_id"], "left").withColumn("region_id", F.coalesce("new_id", F.lit(0).cast("long"))).drop("new_id")
 
 
 def paste(previous: DataFrame, update: DataFrame) -> DataFrame:
@@ -218,14 +223,12 @@ def combined(previous: DataFrame, update: DataFrame, components) -> DataFrame:
     """Paste, split into pieces, and number those by (pasted id, first pixel); pixels of 0 are left out."""
     cut = pieces(paste(previous, update), components)
     order = cut.groupBy("scene", "region_id", "piece").agg(F.min("px").alias("_first"))
-    numbered = order.withColumn("new_id", F.row_number().over(_by_scene()).cast("long"))
-    return cut.join(numbered.select("scene", "piece", "new_id"), ["scene", "piece"]).select("scene", "row", "col", "px", F.col("new_id").alias("region_id"))
-
-
-def _by_scene():  # noqa: ANN202
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("scene").orderBy("region_id", "_first")
+    # two levels: pieces are numbered within an id, and ids by the pieces before them
+    per = order.groupBy("scene", "region_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = exclusive_sum(per, "region_id", "_n", "_under").select("scene", "region_id", "_under")
+    inside = order.withColumn("_at", F.expr("row_number() over (partition by scene, region_id order by _first)"))
+    numbered = inside.join(before, ["scene", "region_id"]).select("scene", "piece", (F.col("_under") + F.col("_at")).cast("long").alias("new_id"))
+    return cut.join(numbered, ["scene", "piece"]).select("scene", "row", "col", "px", F.col("new_id").alias("region_id"))
 
 
 def boundary_edges(labels: DataFrame) -> DataFrame:

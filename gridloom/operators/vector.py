@@ -1,7 +1,7 @@
 """Region maps as polygons: boundary edges chained to rings, rings sorted into shells and holes, WKB.
 
-Edges come from ``regions.boundary_edges`` with the region on their left; a region's edges are stitched in one
-task (grouped by region), so work spreads over regions.
+Edges come from ``regions.boundary_edges`` with the region on their left.  They are sorted by region, and a task
+stitches the regions it has one after another as they stream by; it holds the edges of one region.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import struct
 from collections import defaultdict
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import PIXEL_SPACE, Affine, apply, pixel_area
 from .regions import boundary_edges
+from .streams import by_group
 
 Corner = tuple[int, int]
 Ring = list[Corner]
@@ -111,17 +113,19 @@ def polygons(labels: DataFrame, transform: Affine = PIXEL_SPACE, skip_zero: bool
         edges = edges.filter("region_id <> 0")
     cell = pixel_area(transform)
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        ends = rows[["x0", "y0", "x1", "y1"]].to_numpy().tolist()
+    def build(rows: pa.Table) -> dict:
+        ends = np.stack([rows.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1).tolist()
         found = parts_of(rings_of([((a, b), (c, d)) for a, b, c, d in ends]))
         npix = -sum(doubled_area(r) for p in found for r in p) // 2
         parts = [on_map(p, transform) for p in found]
-        nested = [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in parts]
-        row = [rows["scene"].iloc[0], rows["region_id"].iloc[0], int(npix), npix * cell, len(parts), sum(map(len, parts)), nested, wkb(parts)]
-        return pd.DataFrame([row], columns=["scene", "region_id", "npix", "area", "parts", "rings", "geometry", "wkb"])
+        nested = [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in part] for part in parts]
+        row = [rows.column("scene")[0].as_py(), rows.column("region_id")[0].as_py(), int(npix), npix * cell, len(parts), sum(map(len, parts)), nested, wkb(parts)]
+        return dict(zip(arrow.names, row))
 
+    rings = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    arrow = pa.schema([("scene", pa.string()), ("region_id", pa.int64()), ("npix", pa.int64()), ("area", pa.float64()), ("parts", pa.int32()), ("rings", pa.int32()), ("geometry", rings), ("wkb", pa.binary())])
     schema = f"scene string, region_id long, npix long, area double, parts int, rings int, geometry {_RINGS}, wkb binary"
-    return edges.groupBy("scene", "region_id").applyInPandas(build, schema)
+    return by_group(edges, ["scene", "region_id"], [], build, schema, arrow)
 
 
 def largest(polygon_table: DataFrame, k: int) -> DataFrame:

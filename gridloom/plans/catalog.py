@@ -204,7 +204,7 @@ bins AS (
 
 @query("SELECT bin, n FROM bins", _RAG, _MEANS, _F32, _BINS)
 def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.histogram(regions.nearest_by_id(_edges(spark, sf_dir, "float")), TOLERANCE)
+    return regions.histogram(regions.nearest_by_id(_edges(spark, sf_dir, "float")), TOLERANCE).drop("scene")
 
 
 @query("""

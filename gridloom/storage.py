@@ -14,12 +14,15 @@ _ROOTS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this session's own inside the one that ``spark.checkpoint.dir`` names.
 
-    Where the setting is absent (tests, one machine) a temporary folder is made and used for checkpoints too.
+    Where the setting is absent and the master is this machine (tests), a temporary folder is made and used for
+    checkpoints too; on a cluster, whose executors would write where nobody else can read, that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
             spark.sparkContext.setCheckpointDir(base)
         _ROOTS[app] = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
