@@ -9,19 +9,26 @@ The writer deduplicates by payload: of records with equal payloads of at least `
 the largest id is a response, the others revisit it; smaller payloads are all responses.  Rows that share that
 largest id are all responses.  A null id counts as smaller than any other.
 
+Payloads aren't shuffled: only digests, lengths and ids are.  The payloads that several pages share are a table of
+digest and largest id; the pages of those, and no others, look theirs up in it, a bitmap telling nearly all others apart.
+
 Archives are written through Spark's own file writer, so they go to any store Spark reaches and failed tasks
 leave nothing behind.  That writer puts a separator after each row; the separator used is an empty skippable frame,
-which every Zstandard decoder passes over.  Each archive holds at most ``records`` records and a dictionary trained
-on the first of them.
+which every Zstandard decoder passes over.  An archive is closed after ``max_records`` records or ``max_bytes`` bytes of
+frames, whichever comes first, so a reader holds little more than that (one record may be larger); its dictionary is
+trained on its first records.  An archive is whole: it begins with its dictionary frame.
 
 Rows: a null or empty payload is a record of 0 bytes; null urls are empty.  Payloads are kept whole, one record in
-memory at a time; a reading task holds one archive.  An empty table writes no archive and reads as no rows.
+memory at a time; a reading task holds one archive.  Rows that share a page_id are records of their own: a payload that
+several pages have is a response in each row with the largest id, and a revisit in all others.  An empty table writes
+no archive and reads as no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -29,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import marked, written
+
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An empty skippable frame of magic 0x184D2A50; all its bytes are ASCII, so it can serve as a text separator.
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 TRAIN_RECORDS, TRAIN_BYTES, DICTIONARY_BYTES = 256, 4 << 20, 32 << 10
+#: Bytes of frames after which an archive is closed; a writing or reading task holds one archive.
+MAX_BYTES = 64 << 20
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 DATE = "2024-01-01T00:00:00Z"
 
@@ -45,12 +56,16 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_bytes(record_id: str, uri: str, record_type: str, payload: bytes, refers_to: str | None) -> bytes:
-    """One response or revisit record; a revisit carries the response's HTTP headers and no payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record_bytes(record_id: str, uri: str, record_type: str, payload: bytes | None, refers_to: str | None, size: int | None = None, digest: str | None = None) -> bytes:
+    """One response or revisit record; a revisit carries the response's HTTP headers and no payload.
+
+    A revisit needs no ``payload`` if its ``size`` and its ``digest`` (base32) are given.
+    """
+    size, digest = (len(payload), sha1_base32(payload)) if payload is not None else (size, digest)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if record_type == "revisit" else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}"]
-    lines += [f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
     if record_type == "revisit":
         lines += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -114,8 +129,8 @@ def dictionary_frame(samples: list[bytes]) -> tuple[bytes, object | None]:
     return struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed, zstandard.ZstdCompressionDict(data) if data else None
 
 
-def archive_frames(records: Iterable[bytes], limit: int) -> Iterator[bytes]:
-    """Frames of archives with ``limit`` records each: every archive's dictionary frame, then one frame a record."""
+def archive_frames(records: Iterable[bytes], limit: int, max_bytes: int = MAX_BYTES) -> Iterator[bytes]:
+    """Frames of archives of up to ``limit`` records, closed once they hold ``max_bytes`` bytes: a dictionary frame, then one frame a record."""
     import zstandard
 
     records = iter(records)
@@ -132,13 +147,27 @@ def archive_frames(records: Iterable[bytes], limit: int) -> Iterator[bytes]:
         frame, dictionary = dictionary_frame(head)
         compressor = zstandard.ZstdCompressor(level=3, write_content_size=True, **({"dict_data": dictionary} if dictionary else {}))
         yield frame
-        for r in head:
-            yield compressor.compress(r)
-        for _ in range(limit - len(head)):
-            r = next(records, None)
-            if r is None:
-                return
-            yield compressor.compress(r)
+        size = len(frame)
+        for r in itertools.islice(itertools.chain(head, records), limit):
+            packed = compressor.compress(r)
+            size += len(packed)
+            yield packed
+            head = head[1:]
+            if size >= max_bytes:
+                break
+        records = itertools.chain(head, records) if head else records
+
+
+def archives(records: Iterable[bytes], limit: int, max_bytes: int = MAX_BYTES) -> Iterator[bytes]:
+    """Whole archives of ``records``."""
+    own: list[bytes] = []
+    for frame in archive_frames(records, limit, max_bytes):
+        if frame.startswith(struct.pack("<I", DICTIONARY_MAGIC)) and own:
+            yield b"".join(own)
+            own = []
+        own.append(frame)
+    if own:
+        yield b"".join(own)
 
 
 def read_archive(data: bytes) -> Iterator[bytes]:
@@ -171,38 +200,50 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, records: int = 20_000) -> None:
+def _typed(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """``key, uri, body, n, digest, refers``: every row of ``rows`` (``key, uri, body, n, digest``) as a response, or as a revisit without body.
+
+    Only bodies of the responses among shared payloads meet a shuffle, and of the few rows that a bitmap takes for them.
+    """
+    columns = ["key", "uri", "body", "n", "digest"]
+    none = F.lit(None).cast("long").alias("refers")
+    keeper = rows.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("key").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    keeper = written(keeper.select("digest", "keeper"), "keepers")
+    told = marked(rows, keeper, "digest", "maybe")
+    slim = told.filter(F.col("maybe") & (F.col("n") >= min_bytes)).select("key", "uri", "n", "digest").join(keeper.withColumn("shared", F.lit(True)), "digest", "left")
+    revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~F.col("key").eqNullSafe(F.col("keeper"))
+    revisits = slim.filter(revisit).select("key", "uri", F.lit(None).cast("binary").alias("body"), "n", "digest", F.col("keeper").alias("refers"))
+    who = F.xxhash64("key", "digest")
+    rest = slim.filter(~revisit).select(who.alias("who"), "key", "digest").distinct()
+    rest = written(rest.select("who", F.col("key").alias("key_"), F.col("digest").alias("digest_")), "responses")
+    again = marked(told.filter(F.col("maybe") & (F.col("n") >= min_bytes)).withColumn("who", who), rest, "who", "wanted").filter("wanted")
+    shared = again.join(rest.withColumnRenamed("who", "who_"), (F.col("who") == F.col("who_")) & F.col("key").eqNullSafe(F.col("key_")) & (F.col("digest") == F.col("digest_")), "left_semi")
+    alone = told.filter(~F.col("maybe") | (F.col("n") < min_bytes))
+    return alone.select(*columns, none).unionAll(shared.select(*columns, none)).unionAll(revisits)
+
+
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, records: int = 100_000, max_bytes: int = MAX_BYTES) -> None:
     """Write one record per row of ``pages`` to archives under ``path`` (files ``*.txt``, each a Zstandard stream)."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("uri"), body.alias("body"))
-    rows = rows.withColumn("digest", F.sha1("body"))
-    large = F.octet_length("body") >= min_bytes
-    keeper = rows.filter(large).groupBy("digest").agg(F.max("key").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rows = rows.withColumn("large", large).join(keeper, "digest", "left")
-    refers = F.when(F.col("large") & F.col("keeper").isNotNull() & ~F.col("key").eqNullSafe(F.col("keeper")), F.col("keeper"))
+    rows = rows.withColumns({"n": F.octet_length("body").cast("long"), "digest": F.unhex(F.sha1("body"))})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[bytes]:
             for batch in batches:
-                cols = [batch.column(c) for c in ("key", "uri", "body", "refers")]
+                cols = [batch.column(c) for c in ("key", "uri", "body", "n", "digest", "refers")]
                 for at in range(0, batch.num_rows, 256):
-                    for k, u, b, r in zip(*[c.slice(at, 256).to_pylist() for c in cols]):
-                        yield record_bytes(f"urn:page:{'' if k is None else k}", u.replace("\r", "%0D").replace("\n", "%0A"), "response" if r is None else "revisit", b, None if r is None else f"urn:page:{r}")
+                    for k, u, b, n, d, r in zip(*[c.slice(at, 256).to_pylist() for c in cols]):
+                        uri = u.replace("\r", "%0D").replace("\n", "%0A")
+                        name, other = f"urn:page:{'' if k is None else k}", None if r is None else f"urn:page:{r}"
+                        yield record_bytes(name, uri, "response" if b is not None else "revisit", b, other, n, base64.b32encode(d).decode())
 
-        frames: list[bytes] = []
-        size = 0
-        for f in archive_frames(each(), records):
-            frames.append(f)
-            size += len(f)
-            if size >= 8_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-                frames, size = [], 0
-        if frames:
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-
-    frames = rows.select("key", "uri", "body", refers.alias("refers")).mapInArrow(encode, "frame binary")
-    # one file takes records + 1 rows: the dictionary frame and its records
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", records + 1).text(path)
+        for archive in archives(each(), records, max_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["archive"])
+
+    # one row is one archive and one file
+    whole = _typed(rows, min_bytes).mapInArrow(encode, "archive binary")
+    whole.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
