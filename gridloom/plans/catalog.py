@@ -224,16 +224,6 @@ def draw_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.draws(_coarse(spark, sf_dir)).select("region_id", "n_draws", "draw_offset")
 
 
-@query("""
-+ own AS (SELECT id, m FROM nn WHERE id % 3 = 0),
-held AS (SELECT m.i AS id, min(m.d) AS d FROM own GROUP BY 1)
-SELECT coalesce(own.id, held.id) AS region_id, coalesce(own.m.d, held.d)::DOUBLE AS claim FROM own FULL JOIN held USING (id)""", _RAG, _MEANS, _F32)
-def claims_aux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third block stands for the undersized regions."""
-    small = regions.nearest_by_id(_edges(spark, sf_dir, "float").filter("src % 3 = 0"))
-    return regions.claims(small).select("region_id", F.col("claim").cast("double").alias("claim"))
-
-
 @query("SELECT id AS region_id, f0 < 40::FLOAT OR f0 > 120::FLOAT AS special FROM centres", _RAG, _MEANS, _F32)
 def special_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _regions(spark, sf_dir, "float").select("region_id", regions.is_special(0, 40.0, 120.0).alias("special"))
@@ -342,14 +332,6 @@ def unmerged_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("mostly_unmerged", F.col("nreg") > 0.98 * F.col("npix"))
 
 
-@query("SELECT z AS zone, h AS hemisphere, 'UTM, 1, 1, 500000, 0, 30, 30, ' || z || ', ' || h || ', WGS-84' AS map_info, CASE h WHEN 'North' THEN 32600 ELSE 32700 END + z AS epsg FROM (SELECT DISTINCT (px % 60 + 1)::INT AS z FROM scene), (VALUES ('North'), ('South')) t(h)")
-def epsg_from_map_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = scene.scene(spark, sf_dir).selectExpr("cast(px % 60 + 1 as int) zone").distinct()
-    rows = zones.withColumn("hemisphere", F.explode(F.array(F.lit("North"), F.lit("South"))))
-    rows = rows.withColumn("map_info", F.concat_ws(", ", F.lit("UTM, 1, 1, 500000, 0, 30, 30"), F.col("zone").cast("string"), "hemisphere", F.lit("WGS-84")))
-    return rows.withColumn("epsg", geo.epsg_col("map_info"))
-
-
 @query("""
 + reach(px, r, c, k, y) AS (
   SELECT px, r, c, class0, px FROM scene

@@ -5,7 +5,7 @@ import pytest
 
 from gridloom.config import SegConfig
 from gridloom.operators import kernel, regions
-from gridloom.plans import catalog, passes, scene
+from gridloom.plans import catalog, passes, rules, scene  # noqa: F401 - rules registers its queries
 
 from .conftest import rows_of
 
