@@ -6,6 +6,9 @@
 
 Paths must be visible to driver and executors alike.  Raw ENVI samples are read by offset, so a task reads only its
 rows; compressed formats are decoded by each task that needs them.
+
+``regionmap`` takes the map's place as options: ``like`` (an image whose header says it), or ``mapinfo`` and
+``coordinatesystem``; ``masked`` says whether 0 is nodata (by default, whether some pixel is 0).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from . import detect, envi
-from .raster import RasterError, width_of
+from .raster import Meta, RasterError, width_of
 
 BLOCK_ROWS = 256
 
@@ -51,15 +54,17 @@ class RasterReader(DataSourceReader):
         if self.meta.format == "envi":
             meta, fields = envi.read_header(self.path)
             kind = (envi.MAP_TYPES if self.map else envi.IMAGE_TYPES).get(int(fields.get("data type", "0")))
-            if kind and (fields["interleave"].lower() != "bsq" or meta.bands == 1):
-                order = ">" if fields["byte order"].strip() == "1" else "<"
-                line = meta.cols * meta.bands
-                at = int(fields["header offset"]) + first * line * int(kind[1])
-                flat = np.fromfile(self.path, order + kind, (last - first) * line, offset=at).astype(kind)
-                if len(flat) < (last - first) * line:
-                    raise RasterError(f"{self.path}: the samples are cut short")
+            if kind:
                 how = "bip" if meta.bands == 1 else fields["interleave"].lower()
-                return envi.by_pixel(flat, last - first, meta.cols, meta.bands, how)
+                parts = meta.bands if how == "bsq" else 1  # a band after the other, or all of a row together
+                order, line = ">" if fields["byte order"].strip() == "1" else "<", meta.cols * meta.bands // parts
+                flat = []
+                for b in range(parts):
+                    at = int(fields["header offset"]) + (b * meta.rows + first) * line * int(kind[1])
+                    flat.append(np.fromfile(self.path, order + kind, (last - first) * line, offset=at).astype(kind))
+                    if len(flat[-1]) < (last - first) * line:
+                        raise RasterError(f"{self.path}: the samples are cut short")
+                return envi.by_pixel(np.concatenate(flat), last - first, meta.cols, meta.bands, how)
         r = detect.read_region_map(self.path) if self.map else detect.read(self.path)
         return r.data.reshape(r.meta.rows, r.meta.cols, -1)[first:last].reshape(-1, r.meta.bands)
 
@@ -105,13 +110,17 @@ class RegionMapWriter(DataSourceWriter):
         self.path, self.columns = options["path"], schema.fieldNames()
         self.shape = int(options["rows"]), int(options["cols"])
         self.software, self.command = options.get("software", ""), options.get("history", "")
+        self.meta = detect.probe(options["like"]) if options.get("like") else None
+        if options.get("mapinfo") or options.get("coordinatesystem"):
+            self.meta = Meta(*self.shape, 1, "uint8", "envi", map_info=options.get("mapinfo"), wkt=options.get("coordinatesystem"))
+        self.masked = options.get("masked")
         self.part = self.path + ".part"
         with open(self.part, "wb") as f:
             f.truncate(self.shape[0] * self.shape[1] * 4)
 
     def write(self, rows: Iterator) -> Written:
         px, ids = self.columns.index("px"), self.columns.index("region_id")
-        pairs = np.array([(r[px], r[ids]) for r in rows], np.int64).reshape(-1, 2)
+        pairs = np.fromiter((v for r in rows for v in (r[px], r[ids])), np.int64).reshape(-1, 2)  # 16 bytes a row
         pairs = pairs[np.argsort(pairs[:, 0])]
         cuts = np.flatnonzero(np.diff(pairs[:, 0]) != 1) + 1
         with open(self.part, "r+b") as f:
@@ -125,7 +134,8 @@ class RegionMapWriter(DataSourceWriter):
         count = max((m.highest for m in messages if m), default=0)
         width = width_of(count)
         labels = np.fromfile(self.part, "<u4")
-        envi.write_region_map(self.path, labels, self.shape, width, any(m.zeros for m in messages if m), None, self.software, self.command)
+        masked = any(m.zeros for m in messages if m) if self.masked is None else self.masked.lower() == "true"
+        envi.write_region_map(self.path, labels, self.shape, width, masked, self.meta, self.software, self.command)
         os.remove(self.part)
 
     def abort(self, messages: list) -> None:

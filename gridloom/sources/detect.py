@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 from pathlib import Path
 
 from . import envi, ipw, png, tiff
@@ -61,5 +62,6 @@ def probe(path: str | Path) -> Meta:
     if kind == "envi":
         return envi.read_header(path)[0]
     if kind == "tiff":
-        return tiff.meta_of(tiff.Tags(Path(path).read_bytes(), str(path)))[0]
+        with Path(path).open("rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as raw:  # only the pages that tags are on
+            return tiff.meta_of(tiff.Tags(raw, str(path)))[0]
     return READERS[kind](path).meta

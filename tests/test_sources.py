@@ -384,6 +384,12 @@ def test_data_sources(spark, tmp_path):
     back = spark.read.format("raster").option("kind", "map").load(out)
     assert [r.region_id for r in back.orderBy("px").collect()] == [k % 300 for k in range(SHAPE[0] * SHAPE[1])]
     assert detect.read_region_map(out).meta.dtype == "uint8"
+    place = "UTM, 1, 1, 500, 900, 30, 30, 15, North, WGS-84"
+    labels.write.format("regionmap").mode("append").option("rows", SHAPE[0]).option("cols", SHAPE[1]).option("mapinfo", place).option("masked", "false").save(out)
+    meta = detect.read_region_map(out).meta
+    assert meta.epsg == 32615 and meta.nodata is None
+    labels.write.format("regionmap").mode("append").option("rows", SHAPE[0]).option("cols", SHAPE[1]).option("like", out).save(out + "2")
+    assert detect.read_region_map(out + "2").meta.transform == meta.transform and detect.read_region_map(out + "2").meta.nodata == 0
 
 
 def test_streamed_series(spark, small, tmp_path):
