@@ -260,6 +260,25 @@ def test_warc_of_odd_pages(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_warc_of_rows_that_share_an_id(spark):
+    rows = [(7, "http://a", "<b>x</b>"), (7, "http://b", "<b>x</b>"), (3, "http://c", "<b>x</b>"), (3, "http://c", "<b>x</b>"), (4, "http://d", "only"), (4, "http://d", "only"), (4, "http://d", "other")]
+    path = scratch(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = sorted((r.record_id, r.target_uri, r.warc_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, path).collect())
+    page = lambda k: f"urn:page:{k}"
+    assert got == sorted([(page(7), "http://a", "response", None, 8), (page(7), "http://b", "response", None, 8), *[(page(3), "http://c", "revisit", page(7), 8)] * 2, *[(page(4), "http://d", "response", None, 4)] * 2, (page(4), "http://d", "response", None, 5)], key=lambda r: tuple(map(str, r)))
+
+
+def test_archives_are_bounded_in_bytes(spark):
+    rng = np.random.default_rng(3)
+    pages = spark.createDataFrame([(k, "u", rng.bytes(30_000).hex()) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    path = scratch(spark, "warc")
+    warc.write_warc(pages, path, max_bytes=200_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len(sizes) > 4 and max(sizes) < 300_000
+    assert sorted(r.record_id for r in warc.read_warc(spark, path).collect()) == sorted(f"urn:page:{k}" for k in range(40))
+
+
 # --- nearest neighbours ---------------------------------------------------------------------------------------
 
 def test_search_with_odd_vectors(spark):
@@ -332,6 +351,39 @@ def test_classifiers_on_odd_rows(spark, odd, no_docs):
     assert toxicity_kn.score_documents(no_docs, toxicity_kn.train(no_docs, labels, "y")).count() == 0
 
 
+def test_scores_of_odd_rows(spark, odd, no_docs):
+    """Null, empty and wordless texts have one score, copies have one, unlearned and contradicting labels change nothing."""
+    extra = spark.createDataFrame([(20 + k, f"good plain text number {k} of many") for k in range(12)] + [(40 + k, f"bad nasty words {k} nasty bad") for k in range(12)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(extra)
+    labels = spark.createDataFrame([(20 + k, 1) for k in range(12)] + [(40 + k, 0) for k in range(12)] + [(3, 1), (3, 0)], "doc_id long, y int")
+    for op in (quality_cnn, toxicity_kn):
+        model = op.train(docs, labels, "y")
+        got = docs.select("doc_id").distinct().count(), [(r.doc_id, r.score) for r in op.score_documents(odd, model).collect()]
+        score = dict(got[1])
+        assert len(got[1]) == len(ODD) and all(0 <= s <= 1 for _, s in got[1])
+        assert score[1] == score[2] and len({s for i, s in got[1] if i == 4}) == 1 and score[None] == score[4]
+        other = op.train(docs, labels.filter("doc_id <> 3"), "y")
+        assert dict((r.doc_id, r.score) for r in op.score_documents(odd, other).collect()) == score
+        told = {r.doc_id: r.score for r in op.score_documents(extra, model).collect()}
+        assert np.mean([told[20 + k] for k in range(12)]) > np.mean([told[40 + k] for k in range(12)]) + 0.2
+        one = op.train(docs, labels.filter("y = 1"), "y")
+        assert {r.score for r in op.score_documents(odd, one).collect()} == ({0.5} if op is quality_cnn else {0.0})
+        assert op.score_documents(no_docs, model).count() == 0
+    blank = toxicity_kn.train(docs, labels, "y")
+    assert len({r.score for r in toxicity_kn.score_documents(docs.filter("doc_id in (1, 2, 6)"), blank).collect()}) == 1
+
+
+def test_languages_of_odd_rows(spark, odd, no_docs):
+    learned = spark.createDataFrame([(k, f"the cat and the dog {k} went there", "en") for k in range(20)] + [(k, f"der hund und die katze {k} gingen dort", "de") for k in range(20, 40)], "doc_id long, text string, lang string")
+    model = lang_kernel.fit(lang_kernel.training_rows(learned, F.lit(False)))
+    got = [(r.doc_id, r.lang_pred, r.score) for r in lang_kernel.identify(odd, model).collect()]
+    assert len(got) == len(ODD) and {(i, s) for i, p, s in got if p == "und"} == {(1, 0.0), (2, 0.0), (6, 0.0)}
+    assert len({(p, s) for i, p, s in got if i == 4}) == 1 and all(0 <= s <= 1 for *_, s in got)
+    kept = lang_kernel.identified_documents(odd, model, 0.01)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 4, 5, 7, 8]
+    assert lang_kernel.identify(no_docs, model).count() == 0
+
+
 def test_quality_query(spark, small):
     small = small.replace("sf0.001", "sf0.1")
     got = queries.op4_quality(spark, small).toPandas()
@@ -470,9 +522,18 @@ def test_pipeline_stages(spark, small):
 
 def test_pipeline_with_odd_rows(spark, odd, small):
     docs = odd.select("doc_id", "text", "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
-    for _, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, small)
-        out.count()
+    rows = sorted(map(str, docs.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    assert set(map(str, stages["quality"](spark, docs, small).collect())) <= set(rows)
+    assert sorted(map(str, stages["language"](spark, docs, small).collect())) == rows  # none is labelled: none can be learned
+    assert sorted(map(str, stages["decontaminate"](spark, docs, small).collect())) == rows  # no benchmark passage among them
+    left = sorted((r.doc_id or 0, r.text) for r in stages["dedup"](spark, docs, small).collect() if r.text is not None)
+    assert left == [(2, ""), (3, "one"), (4, "a b c d e f"), (6, " \n\t"), (7, LONG), (8, "héé ß 12")]
+    packed = stages["pack"](spark, docs, small).toPandas()
+    assert len(packed[packed["start"] == 0]) == len(ODD) and packed["length"].sum() == packed[packed["start"] == 0]["doc_tokens"].sum()
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, small).count() == 0, name
 
 
 def test_pipeline_dedup_tells_rows_apart(spark, small):
