@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, words: int, rows: int, tables: int, seed: int) -
     mult = minhash_multipliers(max(SIGNATURE, 2 * rows * tables), seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             n, digests, sig = [], [], []
             for s in shingle_sets(utf8(batch.column("text")), words):
                 n.append(len(s))
@@ -142,7 +142,7 @@ def sketches_of(docs: DataFrame, words: int) -> DataFrame:
     """``id, set_a, set_b, sketch``: the least ``SKETCH`` shingle hashes, by their upper 32 bits, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             sets = [(digest(s), np.unique((s[:SKETCH] >> np.uint64(32)).astype(np.int64))) for s in shingle_sets(utf8(batch.column("text")), words)]
             cols = [pa.array([d[k] for d, _ in sets], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, pa.array([x for _, x in sets], pa.list_(pa.int64()))], names=["id", "set_a", "set_b", "sketch"])
